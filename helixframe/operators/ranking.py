@@ -60,3 +60,16 @@ def last_known(df: DataFrame, group: Sequence[str], order: str, value: Column, o
     carry = lasts.select(*group, "__b", F.last("__last", ignorenulls=True).over(wb).alias("__carry"))
     j = null_safe(inner, carry, [*group, "__b"], "left")
     return j.withColumn(out, F.coalesce("__in", "__carry")).drop("__v", "__b", "__in", "__carry")
+
+
+def ordinal_in_key(df: DataFrame, keys: Sequence[str], block: Column, at: str, out: str = "ordinal") -> DataFrame:
+    """`out`: 0-based exact position of each row within its key, by block and then by `at`.
+
+    Counts per (key, block) are prefix-summed per key and rows are numbered within (key, block), so a
+    key of any size is spread over its blocks. `at` must be unique within a block for a stable result.
+    """
+    d = df.withColumn("__k", block)
+    counts = d.groupBy(*keys, "__k").agg(F.count(F.lit(1)).alias("n"))
+    starts = prefix_over_buckets(counts, keys, "__k", ["n"])
+    local = d.withColumn("__rn", F.row_number().over(W.partitionBy(*keys, "__k").orderBy(at)) - 1)
+    return null_safe(local, starts, [*keys, "__k"]).withColumn(out, F.col("before_n") + F.col("__rn")).drop("__k", "__rn", "before_n")
