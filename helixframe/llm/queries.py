@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixframe.llm import packing, percentiles, pieces, top_n
+from helixframe.llm import leaks, packing, percentiles, pieces, top_n
 from helixframe.session import table
 
 CHUNK, PIECE, OVERLAP = 64_000, 20_000, 200
@@ -33,7 +33,7 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
 
 def _rounded(p: DataFrame) -> DataFrame:
     names = {f"p{m}": f"p{m // 10}" for m in PERMILLE}
-    return p.select(*(F.round(c, 6).alias(names[c]) if c in names else F.col(c) for c in p.columns))
+    return p.select(*(F.round(c, 3).alias(names[c]) if c in names else F.col(c) for c in p.columns))
 
 
 def p2_by_day(spark: SparkSession, d: str) -> DataFrame:
@@ -64,14 +64,26 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n.top_n(h, "read", "score", "hit_id", 5, ["genome", "strand", "genome_start", "genome_end", "edit"]).select("read", "hit_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_chunks, p1_fill, p2_by_day, p2_all_days, p2_by_week, p6_found, p6_pieces, p7_found)}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.report(_leaks(spark, d), table(spark, d, "benchmark"), "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_chunks, p1_fill, p2_by_day, p2_all_days, p2_by_week, p6_found, p6_pieces, p7_found, p8_found, p8_items)}
 
 _G = (1 + percentiles.ALPHA) / (1 - percentiles.ALPHA)
 
 
 def _percentile_sql(keys: str) -> str:
     rank = "greatest(1, floor((tot * {p} + 999) / 1000))"
-    cols = ", ".join(f"round(min_by({2.0 / (_G + 1)!r} * pow({_G!r}, b), c) filter (c >= {rank.format(p=p)}), 6) p{p // 10}" for p in PERMILLE)
+    cols = ", ".join(f"round(min_by({2.0 / (_G + 1)!r} * pow({_G!r}, b), c) filter (c >= {rank.format(p=p)}), 3) p{p // 10}" for p in PERMILLE)
     return f"""with v as (select read_group, cast(run_at as date) as day, weekofyear(run_at) as week, abs(cast(isize as bigint)) x from pretty where isize <> 0),
  s as (select {keys}, cast(ceil(ln(x) / {math.log(_G)!r}) as integer) b, count(*) n from v group by all),
  w as (select *, sum(n) over (partition by {keys} order by b) c, sum(n) over (partition by {keys}) tot from s)
