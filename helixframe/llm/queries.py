@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixframe.llm import leaks, packing, percentiles, pieces, top_n
+from helixframe.llm import leaks, mixing, packing, percentiles, pieces, subjects, top_n
 from helixframe.session import table
 
 CHUNK, PIECE, OVERLAP = 64_000, 20_000, 200
@@ -76,7 +76,27 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.report(_leaks(spark, d), table(spark, d, "benchmark"), "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_chunks, p1_fill, p2_by_day, p2_all_days, p2_by_week, p6_found, p6_pieces, p7_found, p8_found, p8_items)}
+def p9_draws(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(*(table(spark, d, t) for t in ("documents", "subject_labels", "subject_areas", "benchmark")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.corpus_shares(table(spark, d, "documents"), _subjects(spark, d), table(spark, d, "subject_areas"))
+
+
+QUERIES = {f.__name__: f for f in (p1_chunks, p1_fill, p2_by_day, p2_all_days, p2_by_week, p6_found, p6_pieces, p7_found, p8_found, p8_items, p9_draws, p9_shares, p10_found, p10_shares)}
 
 _G = (1 + percentiles.ALPHA) / (1 - percentiles.ALPHA)
 
