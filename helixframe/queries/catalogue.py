@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from helixframe.queries import core_problems, scalars
+from helixframe.queries import core_problems, mapping, scalars
 
-MODULES = (core_problems, scalars)
+MODULES = (core_problems, scalars, mapping)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
-FLAGSHIP = "p4_periods"
+FLAGSHIP = "map_unpaired"
