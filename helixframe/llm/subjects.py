@@ -101,7 +101,29 @@ class Vocabulary:
         return [self.terms[t] for t in terms_of(words, self.common) if t in self.terms]
 
 
-def count_terms(docs: DataFrame) -> tuple[list[tuple[str, int]], frozenset[str], int]:
+def telling_words(docs: DataFrame, named: DataFrame, words: list[str]) -> set[str]:
+    """Of some frequent words those whose labelled documents mostly have one subject."""
+    place = {w: k for k, w in enumerate(words)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c: Counter = Counter()
+            for t, s in zip(b.column("text"), b.column("subject").to_pylist()):
+                c.update((place[w], s) for w in {w for x in sentences(t.as_py()) for w in x} if w in place)
+                c[-1, s] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in c], pa.int32()), pa.array([s for _, s in c], pa.string()), pa.array(c.values(), pa.int64())], names=["k", "subject", "n"])
+
+    got = docs.select("doc_id", "text").join(named, "doc_id").select("text", "subject").mapInArrow(run, "k int, subject string, n bigint").groupBy("k", "subject").agg(F.sum("n").alias("n")).collect()  # words x subjects
+    prior = {r["subject"]: r["n"] for r in got if r["k"] < 0}
+    total = max(sum(prior.values()), 1)
+    seen: Counter = Counter()
+    for r in got:
+        seen[r["k"]] += r["n"]
+    share = {(r["k"], r["subject"]): r["n"] / seen[r["k"]] for r in got if seen[r["k"]] >= LABELLED}
+    return {words[k] for (k, s), x in share.items() if k >= 0 and x >= max(LABEL_SHARE, 1.5 * prior[s] / total)}
+
+
+def count_terms(docs: DataFrame, named: DataFrame) -> tuple[list[tuple[str, int]], frozenset[str], int]:
     """Document counts over all documents of the VOCABULARY most frequent terms, common words, documents."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +139,9 @@ def count_terms(docs: DataFrame) -> tuple[list[tuple[str, int]], frozenset[str],
 
     top = total(docs.select("text").mapInArrow(words, "term string, n bigint")).orderBy(F.desc("n"), "term").limit(COMMON + 1).collect()
     n_docs = max((r["n"] for r in top if r["term"] == ""), default=0)
-    # words in more than a twelfth of all documents carry no subject
-    common = frozenset(r["term"] for r in top if r["term"] and r["n"] > n_docs / 12)
+    # words in more than a twelfth of all documents carry no subject, unless labels show that they do
+    often = [r["term"] for r in top if r["term"] and r["n"] > n_docs / 12]
+    common = frozenset(often) - telling_words(docs, named, often)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,7 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], evaluation: Dat
     top terms: to the subject that they mostly have among labelled documents, if that is clear.
     """
     spark = docs.sparkSession
-    counts, common, n_docs = count_terms(docs)
+    named = labels.select(F.col("doc_id"), tidy(F.col("subject")).alias("subject")).where(F.col("subject").isin(subjects)).distinct()
+    counts, common, _ = count_terms(docs, named)
     # the evaluation set is fixed and small
     items = [r[0] for r in evaluation.select("text").toLocalIterator()] if evaluation is not None else []
     voc = Vocabulary(counts, common, frozenset(p for t in items for w in sentences(t) for p in zip(w, w[1:])))
@@ -208,7 +232,6 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], evaluation: Dat
     coded = cut(docs.select("doc_id", "text").mapInArrow(encode, "doc_id bigint, ids binary"))
     if not v:
         return Model(voc, subjects, np.zeros((0, n_s), np.float32), []), coded
-    named = labels.select(F.col("doc_id"), tidy(F.col("subject")).alias("subject")).where(F.col("subject").isin(subjects)).distinct()
     marked = coded.join(named, "doc_id").select("ids", F.array_position(F.array(*map(F.lit, subjects)), F.col("subject")).cast("int").alias("s"))
 
     def by_label(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
