@@ -283,8 +283,9 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], evaluation: Dat
     for _ in range(ROUNDS):
         mass = passed(topics) + BETA
         # what labels show to tell a subject is kept out of the background, else whole languages end there
+        size = mass.sum(0)
         mass[np.ix_(telling, np.arange(k) >= PER_SUBJECT * n_s)] *= 1e-3
-        topics = mass / mass.sum(0)
+        topics = mass / size
     own = mass / mass.sum(1, keepdims=True)  # share of each topic in a term
     found: list[tuple[str | None, list[str]]] = []
     term_subject = np.zeros((v, n_s), np.float32)
