@@ -165,5 +165,7 @@ def full_alignment(text: pd.Series, seq: pd.Series, reverse: pd.Series) -> pd.Da
 
 def score_windows(windows: DataFrame, key: str = "read_id") -> DataFrame:
     """Adds score_vec; a read's equal windows are scored once."""
-    once = windows.select(key, "st", "text", "seq").distinct().withColumn("score_vec", local_score("text", "seq"))
+    # a fixed number of parts: short rows of much work would otherwise be merged into few tasks
+    parts = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    once = windows.select(key, "st", "text", "seq").distinct().repartition(parts, key).withColumn("score_vec", local_score("text", "seq"))
     return windows.join(once, [key, "st", "text", "seq"])

@@ -13,7 +13,7 @@ QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
 PLAIN = r'[^"\t]*+'
 FIELD = rf"(?:{QUOTED}|{PLAIN})"
 INTEGER = r"-?[0-9]+"
-EDIT = r"(?:[0-9]|[ACGTNacgtn]|[xX]|-|\([ACGTUMRWSYKVHDBNXacgtumrwsykvhdbnx]+\))+"
+EDIT = r"(?:[0-9]|[ACGTNacgtn]|[xX]|-|\([ACGTUMRWSYKVHDBNXacgtumrwsykvhdbnx]+\))++"
 TYPED = {"score": INTEGER, "editstring": EDIT}
 MARK, HEADER = ">", "#FORMAT:"
 
@@ -26,7 +26,7 @@ def wrapped(pattern: str) -> str:
 def row_pattern(columns: Column) -> Column:
     """Anchored regex of a whole row, generated from the column names of its schema."""
     one = F.transform(columns, lambda c: F.coalesce(*(F.when(c == k, F.lit(wrapped(p))) for k, p in TYPED.items()), F.lit(FIELD)))
-    return F.concat(F.lit("^"), F.array_join(one, r"\t"), F.lit("$"))
+    return F.concat(F.lit(r"\A"), F.array_join(one, r"\t"), F.lit(r"\z"))
 
 
 def unquoted(raw: Column) -> Column:

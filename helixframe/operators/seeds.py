@@ -59,17 +59,20 @@ def kmers(df: DataFrame, ids: Sequence[str], seq: str, seeds: Sequence[Seed], sp
     """ids, sn (seed number), key, pos (0-based): keys of all windows with only A, C, G and T. Sequences
     shorter than a seed have none; null ones neither. `spread` shuffles the tiles first, for sequences
     so few and long that a task would hold too much."""
-    span = max(s.span for s in seeds)
-    t = tiles(df, ids, seq, span - 1)
+    t = tiles(df, ids, seq, max(s.span for s in seeds) - 1)
     if spread:
-        t = t.repartition(F.xxhash64(*ids, "tile"))
+        # a fixed number, as a coalesced shuffle of short tiles would make few tasks of much work
+        t = t.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*ids, "tile"))
     at = F.explode(F.sequence(F.lit(1), F.least(F.length("text"), F.lit(TILE)))).alias("__i")
     w = t.select(*ids, "start", "text", at)
-    out = []
+    out = None
     for n, s in enumerate(seeds):
-        window = F.substring("text", F.col("__i"), F.lit(s.span))
-        out.append(F.when((F.length(window) == s.span) & window.rlike("^[ACGT]+$"), F.struct(F.lit(n).alias("sn"), s.key(window).alias("key"), (F.col("start") + F.col("__i") - 1).alias("pos"))))
-    return w.select(*ids, F.inline(F.filter(F.array(*out), lambda x: x.isNotNull())))
+        # one select a seed, not an array of them: it stays within generated code
+        window = w.select(*ids, F.lit(n).alias("sn"), F.substring("text", F.col("__i"), F.lit(s.span)).alias("__w"), (F.col("start") + F.col("__i") - 1).alias("pos"))
+        window = window.where((F.length("__w") == s.span) & ~F.col("__w").rlike("[^ACGT]"))
+        one = window.select(*ids, "sn", s.key(F.col("__w")).alias("key"), "pos")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def occurrences(df: DataFrame, ids: Sequence[str], seq: str, token: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -14,20 +13,20 @@ def suppress_overlaps(windows: DataFrame, overlap_pct: int = 90) -> DataFrame:
     Needs read_id, st, cn, g_off, w_len, passes. Every decision depends on the one before, hence an ordered
     fold; its groups are the windows of one read and strand, which the cut-off of heavy keys bounds.
     """
-    fields = windows.schema
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cn", "g_off", "x", "y"] if "x" in pdf else ["cn", "g_off"], kind="stable")
-        keep, cn, last = [], None, 0
-        for c, g, n, ok in zip(pdf["cn"], pdf["g_off"], pdf["w_len"], pdf["passes"]):
-            near = c == cn and g + n * overlap_pct // 100 <= last + n
-            take = bool(ok) and not near
-            keep.append(take)
-            if take:
-                cn, last = c, g
-        return pdf[keep]
-
-    return windows.groupBy("read_id", "st").applyInPandas(fold, fields)
+    order = [c for c in ("cn", "g_off", "x", "y") if c in windows.columns]
+    rest = [c for c in windows.columns if c not in (*order, "read_id", "st")]
+    rows = windows.groupBy("read_id", "st").agg(F.sort_array(F.collect_list(F.struct(*order, *rest))).alias("__w"))
+    item = rows.schema["__w"].dataType.elementType.simpleString()
+    start = F.struct(F.array().cast(f"array<{item}>").alias("kept"), F.lit(None).cast(item).alias("last"))
+
+    def fold(acc: Column, w: Column) -> Column:
+        last = acc["last"]
+        near = last.isNotNull() & (last["cn"] == w["cn"]) & (w["g_off"] + F.floor(w["w_len"] * overlap_pct / 100) <= last["g_off"] + w["w_len"])
+        take = w["passes"] & ~F.coalesce(near, F.lit(False))
+        return F.struct(F.when(take, F.concat(acc["kept"], F.array(w))).otherwise(acc["kept"]).alias("kept"), F.when(take, w).otherwise(last).alias("last"))
+
+    kept = F.aggregate("__w", start, fold, lambda acc: acc["kept"])
+    return rows.select("read_id", "st", F.inline(kept)).select(*windows.columns)
 
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from helixframe.functions import probability as P
 from helixframe.operators import anchors as A, kernels as K, seeds as X, select as C
 from helixframe.operators.ranking import last_known
+from helixframe.session import cut
 
 
 @dataclass(frozen=True)
@@ -66,7 +67,8 @@ def map_reads(reads: DataFrame, contigs: DataFrame, o: Options = Options(), inde
     stranded = A.both_strands(reads, strands=o.strands)
     anchors = A.seed_anchors(stranded, idx, o.seeds)
     if o.regions:
-        anchors = A.supported(anchors)
+        # support reads the anchors twice: written once, the index and the join aren't worked out again
+        anchors = A.supported(cut(anchors))
     lens = reads.select("read_id", F.length("seq").alias("read_len"))
     spans = F.element_at(F.array(*(F.lit(s.span) for s in o.seeds)), F.col("sn") + 1)
     anchors = anchors.join(lens, "read_id").withColumn("__span", spans)
@@ -78,6 +80,7 @@ def map_reads(reads: DataFrame, contigs: DataFrame, o: Options = Options(), inde
     win = K.score_windows(win).withColumn("passes", F.col("score_vec") * 100 >= full * o.vector_threshold_pct)
     kept = C.suppress_overlaps(win.drop("length", "weight", "matches", "score"), o.overlap_pct)
     best = C.top_k(kept, ["read_id"], [F.desc("score_vec"), *ORDER], o.report + o.extra_candidates, "__r")
+    best = best.repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "read_id")
     a = best.withColumn("a", K.full_alignment("text", "seq", F.col("st") == 1)).where(F.col("a.score") * 100 >= F.length("seq") * scores["match"] * o.full_threshold_pct)
     used = F.length(F.regexp_replace("a.ops", "I", ""))
     start = F.col("g_off") + F.col("a.start") + 1

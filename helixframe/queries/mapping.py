@@ -15,7 +15,7 @@ CUTOFF = 2
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    return X.kmers(contigs(spark, d), ["cn"], "seq", SEEDS)
+    return X.kmers(contigs(spark, d), ["cn"], "seq", SEEDS, spread=True)
 
 
 def kmer_index(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +63,7 @@ def region_support(spark: SparkSession, d: str) -> DataFrame:
 def _first_seed_islands(spark: SparkSession, d: str) -> DataFrame:
     seed = (X.CONTIGUOUS,)
     r = reads(spark, d).withColumn("read_len", F.length("seq"))
-    a = A.seed_anchors(A.both_strands(r), X.kmers(contigs(spark, d), ["cn"], "seq", seed), seed)
+    a = A.seed_anchors(A.both_strands(r), X.kmers(contigs(spark, d), ["cn"], "seq", seed, spread=True), seed)
     return A.diagonal_islands(a.join(r.select("read_id", "read_len"), "read_id"), "read_len", X.CONTIGUOUS.span)
 
 
