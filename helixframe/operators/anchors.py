@@ -47,6 +47,29 @@ def supported(anchors: DataFrame, least: int = 2, bits: int = REGION_BITS, overl
     return flat.join(ok, ["read_id", "st", "cn", "region"], "left_semi").select(*keys).distinct()
 
 
+def mate_supported(anchors: DataFrame, mates: DataFrame, mode: int, reach: int = 1000, bits: int = REGION_BITS) -> DataFrame:
+    """Anchors kept by the regions of the read and of its mate within `reach`: both strong (mode 1), either strong
+    (2), or the mate there at all and three incidences together (3); 0 keeps all.
+
+    Both have pair_id besides the anchor columns; mates lie on the other strand. Region counts meet in an
+    equi-join on neighbouring regions, which are as many as `reach` spans."""
+    if mode not in (0, 1, 2, 3):
+        raise ValueError("mode is 0 to 3")
+    if not mode:
+        return anchors
+    span = (reach >> bits) + 1
+
+    def counts(a: DataFrame) -> DataFrame:
+        return a.groupBy("pair_id", "st", "cn", F.shiftright("x", bits).alias("region")).agg(F.least(F.count(F.lit(1)), F.lit(2)).alias("n"))
+
+    near = counts(mates).select("pair_id", (1 - F.col("st")).alias("st"), "cn", F.explode(F.sequence(F.col("region") - span, F.col("region") + span)).alias("region"), F.col("n").alias("m"))
+    near = near.groupBy("pair_id", "st", "cn", "region").agg(F.max("m").alias("m"))
+    own = counts(anchors).join(near, ["pair_id", "st", "cn", "region"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    keep = {1: (F.col("n") >= 2) & (F.col("m") >= 2), 2: (F.col("n") >= 2) | (F.col("m") >= 2), 3: (F.col("m") >= 1) & (F.col("n") + F.col("m") >= 3)}[mode]
+    ok = own.where(keep).select("pair_id", "st", "cn", "region")
+    return anchors.withColumn("region", F.shiftright("x", bits)).join(ok, ["pair_id", "st", "cn", "region"], "left_semi").drop("region")
+
+
 def diagonal_islands(anchors: DataFrame, read_len: str, span: int) -> DataFrame:
     """Successive anchors of one diagonal as one: read_id, st, cn, x, y, length, weight (how many), big_gap
     (whether the next anchor of the read lies far off).

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from helixframe.functions.probability import LETTER
+from helixframe.functions.probability import COLOUR, LETTER
 
 NEG = -(1 << 28)
 CODE = np.full(256, 7, np.uint8)
@@ -169,3 +169,101 @@ def score_windows(windows: DataFrame, key: str = "read_id") -> DataFrame:
     parts = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     once = windows.select(key, "st", "text", "seq").distinct().repartition(parts, key).withColumn("score_vec", local_score("text", "seq"))
     return windows.join(once, [key, "st", "text", "seq"])
+
+
+def decode_layers(colours: list[str], first: str = "T") -> np.ndarray:
+    """(4, reads, length) base codes of equal-length colour reads: the letters that follow from the first base,
+    and the same shifted by each of the other three constants, as a colour error shifts all later letters.
+    An unknown colour counts as 0 and is scored as matching nothing at its place (code 7)."""
+    raw = np.frombuffer("".join(colours).encode("ascii", "replace"), np.uint8).reshape(len(colours), -1)
+    known = (raw >= ord("0")) & (raw <= ord("3"))
+    steps = np.where(known, raw - ord("0"), 0).astype(np.uint8)
+    base = np.bitwise_xor.accumulate(steps, axis=1) ^ CODE[ord(first)]
+    layers = np.stack([base ^ k for k in range(4)])
+    return np.where(known[None], layers, 7)
+
+
+def colour_alignments(genome: np.ndarray, layers: np.ndarray, s: dict) -> list[tuple[int, int, str, int]]:
+    """(score, genome start, operations, crossovers) of colour reads end to end, with free genome ends.
+
+    Four letter translations of a read are aligned at once; between two read bases the alignment may change
+    to another translation for the crossover score, which is how a wrong colour is explained. A genome is
+    letters, as are the operations; lower-case operations are those right after a crossover.
+    """
+    _, b, n = layers.shape
+    m = genome.shape[1]
+    h = np.full((n + 1, 4, b, m + 1), NEG, np.int32)
+    h[0, 0] = 0
+    h[0, 1:] = s["crossover"]
+    ins = np.full_like(h, NEG)
+    dele = np.full_like(h, NEG)
+    k = np.arange(m + 1, dtype=np.int32)
+    for i in range(1, n + 1):
+        best = h[i - 1].max(0)
+        enter = np.maximum(h[i - 1], best[None] + s["crossover"]) if i > 1 else h[0]
+        sub = np.where((genome[None] == layers[:, :, i - 1 : i]) & (genome[None] < 4), s["match"], np.where(layers[:, :, i - 1 : i] > 3, 0, s["mismatch"]))
+        ins[i] = np.maximum(ins[i - 1], h[i - 1] + s["open"]) + s["ext_ins"]
+        v = np.full((4, b, m + 1), NEG, np.int32)
+        v[:, :, 1:] = enter[:, :, :-1] + sub
+        v = np.maximum(v, ins[i])
+        run = np.maximum.accumulate(v - k * s["ext_del"], axis=2)
+        dele[i][:, :, 1:] = run[:, :, :-1] + k[1:] * s["ext_del"] + s["open"]
+        h[i] = np.maximum(v, dele[i])
+    out = []
+    for x in range(b):
+        last = h[n, :, x]
+        layer, j = (int(q) for q in np.unravel_index(last.argmax(), last.shape))
+        score, i, ops, state, crossed = int(last[layer, j]), n, [], "H", 0
+        while i > 0:
+            here = h[i, layer, x, j]
+            if state == "H":
+                r = layers[layer, x, i - 1]
+                same = j > 0 and genome[x, j - 1] == r and r < 4
+                pay = s["match"] if same else (0 if r > 3 else s["mismatch"])
+                if j > 0 and here == h[i - 1, layer, x, j - 1] + pay:
+                    ops.append("=" if same else "X")
+                    i, j = i - 1, j - 1
+                elif j > 0 and i > 1 and here == h[i - 1, :, x, j - 1].max() + s["crossover"] + pay:
+                    ops.append("e" if same else "x")
+                    layer = int(h[i - 1, :, x, j - 1].argmax())
+                    crossed += 1
+                    i, j = i - 1, j - 1
+                else:
+                    state = "I" if here == ins[i, layer, x, j] else "D"
+            elif state == "I":
+                ops.append("I")
+                if ins[i, layer, x, j] == h[i - 1, layer, x, j] + s["open"] + s["ext_ins"]:
+                    state = "H"
+                i -= 1
+            else:
+                ops.append("D")
+                j -= 1
+                if dele[i, layer, x, j + 1] == h[i, layer, x, j] + s["open"] + s["ext_del"]:
+                    state = "H"
+        crossed += int(layer != 0)  # a wrong first colour
+        out.append((score, j, "".join(reversed(ops)), crossed))
+    return out
+
+
+@F.pandas_udf(T.StructType([T.StructField("score", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("ops", T.StringType()), T.StructField("crossovers", T.IntegerType())]))
+def colour_alignment(text: pd.Series, colours: pd.Series) -> pd.DataFrame:
+    """Colour read (without its leading base) against a letter window; null or empty ones give nulls."""
+    p = pd.DataFrame({"text": text.fillna(""), "seq": colours.fillna("")}).reset_index(drop=True)
+    out: list = [(None, None, None, None)] * len(p)
+    for rows in _by_shape(p):
+        a, c = list(p["text"].iloc[rows]), list(p["seq"].iloc[rows])
+        if a[0] and c[0]:
+            for row, got in zip(rows, colour_alignments(encode(a), decode_layers(c), COLOUR)):
+                out[row] = got
+    return pd.DataFrame(out, columns=["score", "start", "ops", "crossovers"]).astype({"score": "Int32", "start": "Int32", "crossovers": "Int32"})
+
+
+def pretty(ops: str, genome: str, read: str, start: int) -> str:
+    """Three lines: genome, marks of matches, read, with dashes at gaps."""
+    g, k, r, i, j = [], [], [], start, 0
+    for o in ops:
+        g.append("-" if o == "I" else genome[i])
+        r.append("-" if o == "D" else read[j])
+        k.append("|" if o == "=" else " ")
+        i, j = i + (o != "I"), j + (o != "D")
+    return "\n".join(("G: " + "".join(g), "   " + "".join(k), "R: " + "".join(r)))

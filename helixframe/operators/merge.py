@@ -50,3 +50,39 @@ def union_same_contigs(a: DataFrame, b: DataFrame, a_headers: DataFrame, b_heade
     if odd:
         raise ValueError(f"headers differ: {odd[0]['line']}")
     return a.unionByName(b)
+
+
+def genome_chunks(contigs: list[tuple[str, int]], target: int) -> list[list[str]]:
+    """Contigs as chunks of about `target` bases: first-fit decreasing gives their number, then the longest go
+    each to the chunk with the least so far. For a genome's list of contigs, which a driver holds."""
+    free: list[int] = []
+    order = sorted(contigs, key=lambda c: (-c[1], c[0]))
+    for _, n in order:
+        at = next((i for i, f in enumerate(free) if f >= n), None)
+        if at is None:
+            free.append(max(target - n, 0))
+        else:
+            free[at] -= n
+    chunks: list[list[str]] = [[] for _ in free]
+    used = [0] * len(free)
+    for name, n in order:
+        i = used.index(min(used))
+        chunks[i].append(name)
+        used[i] += n
+    return chunks
+
+
+def pairedness(rows: DataFrame, name: str, flags: str) -> DataFrame:
+    """One row: rows, paired rows, and whether the alignments are of pairs throughout, of single reads, or mixed."""
+    r = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum((F.col(flags).bitwiseAND(1) != 0).cast("int")), F.lit(0)).alias("paired"))
+    return r.withColumn("kind", F.when(F.col("paired") == 0, "single").when(F.col("paired") == F.col("rows"), "paired").otherwise("mixed"))
+
+
+def collapse_pairs(rows: DataFrame, key: str, nip: str, line: str) -> DataFrame:
+    """Two lines of a pair as one row: key, first, second."""
+    return rows.groupBy(key).agg(F.max(F.when(F.col(nip) == 0, F.col(line))).alias("first"), F.max(F.when(F.col(nip) == 1, F.col(line))).alias("second"))
+
+
+def expand_pairs(pairs: DataFrame, key: str) -> DataFrame:
+    both = F.array(*(F.struct(F.lit(n).alias("nip"), F.col(c).alias("line")) for n, c in enumerate(("first", "second"))))
+    return pairs.select(key, F.inline(both)).where("line is not null")

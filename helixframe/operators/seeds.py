@@ -82,6 +82,11 @@ def occurrences(df: DataFrame, ids: Sequence[str], seq: str, token: str) -> Data
     return t.select(*ids, "start", F.explode(at).alias("i")).select(*ids, (F.col("start") + F.col("i")).alias("pos"))
 
 
+def hashed(index: DataFrame, bits: int = 24) -> DataFrame:
+    """Keys of heavy seeds as short hashes: collisions only add candidates, which scoring drops."""
+    return index.withColumn("key", F.xxhash64("key").bitwiseAND((1 << bits) - 1).cast("string"))
+
+
 def key_counts(index: DataFrame) -> DataFrame:
     """How long the posting list of each key is."""
     return index.groupBy("sn", "key").agg(F.count(F.lit(1)).alias("n"))

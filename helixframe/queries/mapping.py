@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from helixframe.functions import alphabet as S
 from helixframe.functions.probability import LETTER
 from helixframe.operators import anchors as A, kernels as K, seeds as X, select as C
 from helixframe.plans import mapping as M
@@ -102,6 +103,17 @@ def overlap_suppression(spark: SparkSession, d: str) -> DataFrame:
     return C.suppress_overlaps(w.select("read_id", "st", "cn", "g_off", "w_len", "x", "y", "score_vec", "passes"))
 
 
+def colour_align(spark: SparkSession, d: str) -> DataFrame:
+    """Forward reads as colours with one colour changed, aligned to the letters they come from."""
+    r = reads(spark, d).where("st = 0")
+    w = r.select("read_id", "cn", F.greatest(F.col("pos") - 7, F.lit(0)).cast("bigint").alias("g_off"), F.lit(50).alias("w_len"), "seq")
+    w = A.window_text(w, contigs(spark, d).select("cn", "seq"))
+    c = S.letters_to_colours(F.col("seq"))
+    wrong = F.concat(F.substring(c, F.lit(1), F.lit(20)), F.translate(F.substring(c, F.lit(21), F.lit(1)), "0123", "1230"), F.substring(c, F.lit(22), F.lit(100)))
+    a = w.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "read_id").withColumn("a", K.colour_alignment("text", wrong))
+    return a.select("read_id", "cn", (F.col("g_off") + F.col("a.start") + 1).alias("genome_start"), "a.score", "a.crossovers", "a.ops")
+
+
 def full_align(spark: SparkSession, d: str) -> DataFrame:
     return M.map_reads(reads(spark, d), contigs(spark, d)).select("read_id", "st", "cn", "genome_start", "cigar", "edit", "score", "rank")
 
@@ -114,7 +126,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         kmer_index, index_list_stats, index_list_histogram, heavy_key_cutoff, contig_offsets, contig_lookup, seed_join_anchors, region_support,
-        diagonal_islands, two_anchor_windows, gapless_score, sw_score, overlap_suppression, full_align, map_unpaired,
+        diagonal_islands, two_anchor_windows, gapless_score, sw_score, overlap_suppression, colour_align, full_align, map_unpaired,
     )
 }
 

@@ -252,6 +252,17 @@ def native_render(spark: SparkSession, d: str) -> DataFrame:
     return h.select("hit_id", S.native_line({k: F.col(c) for k, c in names.items()}).alias("line"))
 
 
+def pairedness(spark: SparkSession, d: str) -> DataFrame:
+    return G.pairedness(table(spark, d, "pretty").where("flags is not null"), "read_name", "flags")
+
+
+def collapse_expand_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Two lines a pair to one row and back; of repeated lines of a mate the last by text stays."""
+    p = table(spark, d, "pretty").where("read_id is not null and flags is not null").withColumn("nip", F.when(F.col("flags").bitwiseAND(128) != 0, 1).otherwise(0))
+    p = p.withColumn("line", F.concat_ws(":", F.col("flags").cast("string"), F.coalesce("cigar", F.lit("*"))))
+    return G.expand_pairs(G.collapse_pairs(p, "read_id", "nip", "line"), "read_id")
+
+
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     s = E.stream_of(spark, f"{d}/events.parquet")
     return E.drain(E.tumbling(s, "ts", "event_type", "value"), "stream_windows")
@@ -267,7 +278,7 @@ QUERIES = {
         topk_hits, strata_hits, ties_kept, capped_hits, dedup_start_end, pair_interval_join, insert_sizes, insert_size_hist, dominant_legs, paired_mapq,
         best_of_class, improper_pairs, unpaired_mapq, merge_chunks_mapq, merged_best_pairs, mapped_reads, unmapped_reads, mapping_stats, event_rates,
         normodds, top_matches, pgenome, pchance, concordant_mates, matepair_distance_stats, matepair_cumulative, adjacent_mates, suffix_pairs, sam_render, sam_parse,
-        sam_header_merge, sam_genome_length, native_render, stream_windows, session_counts,
+        sam_header_merge, sam_genome_length, native_render, pairedness, collapse_expand_pairs, stream_windows, session_counts,
     )
 }
 
@@ -335,6 +346,8 @@ SQL = {
     "sam_header_merge": f"with {_HEAD} select * from m",
     "sam_genome_length": "select count(*) contigs, cast(sum(len) as bigint) genome_length from genome_contigs",
     "native_render": "select hit_id, '>' || " + " || chr(9) || ".join(f"coalesce(cast({c} as varchar), '')" for c in ("read", "genome", "strand", "genome_start", "genome_end", "read_start", "read_end", "read_length", "score", "edit")) + " line from native_hits where read is not null",
+    "pairedness": "select count(*) as rows, cast(sum(flags & 1) as bigint) paired, case when sum(flags & 1) = 0 then 'single' when sum(flags & 1) = count(*) then 'paired' else 'mixed' end kind from pretty where flags is not null",
+    "collapse_expand_pairs": "select read_id, cast(case when flags & 128 <> 0 then 1 else 0 end as integer) nip, max(flags || ':' || coalesce(cigar, '*')) line from pretty where read_id is not null and flags is not null group by 1, 2",
     "stream_windows": "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) n, round(sum(value), 6) total from events group by all",
     "session_counts": """with l as (select user_id, ts, case when ts - lag(ts) over w < interval '30 minutes' then 0 else 1 end f from events window w as (partition by user_id order by ts)),
  s as (select *, sum(f) over (partition by user_id order by ts rows unbounded preceding) k from l) select user_id, min(ts) as start, max(ts) + interval '30 minutes' stop, count(*) n from s group by user_id, k""",

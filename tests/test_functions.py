@@ -133,3 +133,24 @@ def test_global_alignments_explain_their_score():
 def test_local_score_udf_of_odd_rows(spark):
     df = spark.createDataFrame([("ACGTACGT", "ACGT"), (None, "A"), ("", "A"), ("ACGT", None), ("AC", "GTGTGTGT")], "t string, s string")
     assert [r[0] for r in df.select(K.local_score("t", "s")).collect()] == [40, 0, 0, 0, 0]
+
+
+def test_colour_alignment_explains_colour_errors():
+    rng = random.Random(10)
+    code = {b: n for n, b in enumerate("ACGT")}
+    colour = lambda s: "".join(str(code[a] ^ code[b]) for a, b in zip("T" + s, s))
+    g = ["".join(rng.choice("ACGT") for _ in range(44)) for _ in range(20)]
+    for wrong in (0, 1, 2):
+        r = [x[5:35] for x in g]
+        c = [list(colour(x)) for x in r]
+        for x in c:
+            for at in rng.sample(range(4, 26, 5), wrong):
+                x[at] = str((int(x[at]) + 1) % 4)
+        for score, start, ops, crossed in K.colour_alignments(K.encode(g), K.decode_layers(["".join(x) for x in c]), P.COLOUR):
+            assert (score, start, crossed, len(ops)) == (300 - 20 * wrong, 5, wrong, 30)
+    snp = g[0][5:20] + "ACGT"[(code[g[0][20]] + 1) % 4] + g[0][21:35]
+    assert K.colour_alignments(K.encode(g[:1]), K.decode_layers([colour(snp)]), P.COLOUR)[0][:2] == (290 - 24, 5)
+    gap = g[1][5:20] + g[1][22:37]
+    score, start, ops, crossed = K.colour_alignments(K.encode(g[1:2]), K.decode_layers([colour(gap)]), P.COLOUR)[0]
+    assert start == 5 and crossed == 0 and ops.count("D") == 2 and score == 300 - 33 - 14
+    assert K.pretty("=XID=", "ACGT", "AGTT", 0) == "G: AC-GT\n   |   |\nR: AGT-T"

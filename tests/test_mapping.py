@@ -126,3 +126,19 @@ def test_stream_drains(spark, tmp_path):
     spark.sql("select timestamp_ntz'2024-01-01 00:10:00' + make_dt_interval(0, 0, cast(id as int)) ts, id % 2 k, 1.0D v from range(120)").write.parquet(str(tmp_path / "e"))
     got = events.drain(events.tumbling(events.stream_of(spark, str(tmp_path / "e")), "ts", "k", "v"), "t_events").collect()
     assert sum(r["n"] for r in got) == 120 and len(got) == 6
+
+
+def test_genome_chunks():
+    chunks = merge.genome_chunks([("a", 60), ("b", 50), ("c", 40), ("d", 30), ("e", 500)], 100)
+    assert sorted(n for c in chunks for n in c) == list("abcde") and len(chunks) == 3 and ["e"] in chunks
+    assert merge.genome_chunks([], 10) == []
+
+
+def test_mate_support(spark):
+    schema = "pair_id long, read_id long, st int, cn int, x long, y int"
+    a = spark.createDataFrame([(1, 1, 0, 0, 100, 0), (1, 1, 0, 0, 110, 10), (1, 1, 0, 0, 90000, 3)], schema)
+    b = spark.createDataFrame([(1, 2, 1, 0, 300, 0), (1, 2, 1, 0, 90500, 0), (1, 2, 1, 0, 90510, 0)], schema)
+    from helixframe.operators.anchors import mate_supported
+
+    got = {m: {r["x"] for r in mate_supported(a, b, m).collect()} for m in range(4)}
+    assert got == {0: {100, 110, 90000}, 1: set(), 2: {100, 110, 90000}, 3: {100, 110, 90000}}
