@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from helixframe.functions.alphabet import reverse_complement
-from helixframe.operators.seeds import TILE, Seed, kmers, tiles
+from helixframe.operators.seeds import Seed, kmers, tiles
 
 REGION_BITS, REGION_OVERLAP, BIG_GAP = 11, 50, 1024
 
@@ -115,9 +115,9 @@ def candidate_windows(islands: DataFrame, read_len: str, contig_len: str, match:
     return r.where(F.col("score") >= need).select("read_id", "st", "cn", "x", "y", "length", "weight", "matches", "score", w_len.alias("w_len"), g_off.cast("bigint").alias("g_off"))
 
 
-def window_text(windows: DataFrame, contigs: DataFrame, most: int = 1024) -> DataFrame:
-    """Adds `text`: the contig's bases of the window, from tiles of the contigs by an equi-join."""
-    t = tiles(contigs, ["cn"], "seq", most).select("cn", "tile", "start", F.col("text").alias("__t"))
-    w = windows.withColumn("tile", F.floor(F.col("g_off") / TILE).cast("bigint"))
+def window_text(windows: DataFrame, contigs: DataFrame, most: int = 1536, tile: int = 1024) -> DataFrame:
+    """Adds `text`: the contig's bases of a window of at most `most`, from tiles of the contigs by an equi-join."""
+    t = tiles(contigs, ["cn"], "seq", most, tile).select("cn", "tile", "start", F.col("text").alias("__t"))
+    w = windows.withColumn("tile", F.floor(F.col("g_off") / tile).cast("bigint"))
     j = w.join(t, ["cn", "tile"])
     return j.withColumn("text", F.substring("__t", (F.col("g_off") - F.col("start") + 1).cast("int"), F.col("w_len"))).drop("tile", "start", "__t")

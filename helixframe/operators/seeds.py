@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from helixframe.operators.ranking import prefix_over_buckets
 
-TILE, BLOCK = 512, 1 << 18
+TILE, BLOCK = 128, 1 << 18
 
 
 @dataclass(frozen=True)

@@ -63,7 +63,8 @@ def map_reads(reads: DataFrame, contigs: DataFrame, o: Options = Options(), inde
     islands and windows; windows are scored in Arrow batches, thinned by overlap and cut to the best per
     read before the full alignment. A prepared index (X.kmers, written by sn and key) saves building it.
     """
-    idx = X.without_heavy(index if index is not None else X.kmers(contigs, ["cn"], "seq", o.seeds, spread=True), o.cutoff)
+    # counting its keys and joining them both read the index: it is written once
+    idx = X.without_heavy(index if index is not None else cut(X.kmers(contigs, ["cn"], "seq", o.seeds, spread=True)), o.cutoff)
     stranded = A.both_strands(reads, strands=o.strands)
     anchors = A.seed_anchors(stranded, idx, o.seeds)
     if o.regions:
