@@ -8,10 +8,14 @@ from helixframe.operators import intervals, row_parsing, skewed_keys
 from helixframe.session import table
 
 
-def _key_statistics(spark: SparkSession, d: str) -> DataFrame:
+def _keyed(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "native_hits").select("read", "genome", "score", *skewed_keys.file_block())
     kinds = F.array(*(F.struct(F.lit(k).alias("key_kind"), F.col(k).alias("key_value")) for k in ("genome", "read")))
-    return skewed_keys.key_statistics(hits.select(F.inline(kinds), "score", "block", "at"), ["key_kind", "key_value"], "score")
+    return hits.select(F.inline(kinds), "score", "block", "at")
+
+
+def _key_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return skewed_keys.key_statistics(_keyed(spark, d), ["key_kind", "key_value"], "score")
 
 
 def p3_key_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -20,7 +24,7 @@ def p3_key_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return skewed_keys.heavy_keys(_key_statistics(spark, d), "key_kind", "key_value").select("key_kind", "key_value")
+    return skewed_keys.heavy_keys(_key_statistics(spark, d), _keyed(spark, d), "key_kind", "key_value").select("key_kind", "key_value")
 
 
 def p4_periods(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +46,7 @@ def p5_native_hits(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p3_key_stats, p3_found, p4_periods, p4_found, p5_found, p5_native_hits)}
 
 _KEYS = """select 'genome' key_kind, genome key_value, score from native_hits union all select 'read', read, score from native_hits"""
-_PERIODS = """with iv as (select genome, least(genome_start, genome_end) lo, greatest(genome_start, genome_end) hi from native_hits
+_PERIODS = """with iv as (select distinct genome, least(genome_start, genome_end) lo, greatest(genome_start, genome_end) hi from native_hits
  where genome is not null and genome_start is not null and genome_end is not null),
  m as (select genome, lo, hi, max(hi) over (partition by genome order by lo, hi rows between unbounded preceding and 1 preceding) before from iv),
  g as (select *, case when before is null or lo > before + 1 then 1 else 0 end fresh from m),
