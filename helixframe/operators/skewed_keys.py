@@ -62,11 +62,11 @@ def key_statistics(df: DataFrame, keys: Sequence[str], score: str, chunk_rows: i
     return merged.select(*keys, "n_hits", "n_scored", "best_score", mean.alias("mean_score"), "n_chunks")
 
 
-def heavy_keys(stats: DataFrame, kind: str, key: str, share: float = 0.03) -> DataFrame:
+def heavy_keys(stats: DataFrame, rows: DataFrame, kind: str, key: str, share: float = 0.03) -> DataFrame:
     """Keys that at least `share` of all rows of their kind hold; null is no key but counts as rows.
 
-    `stats` has one row per (kind, key) with n_hits; the total per kind comes from it, so the rows
-    are not read again. Result: kind, key, n_hits, n_rows.
+    `stats` has one row per (kind, key) with n_hits, `rows` the rows themselves, of which only the kinds are
+    counted. Result: kind, key, n_hits, n_rows.
     """
-    total = stats.groupBy(kind).agg(F.sum("n_hits").alias("n_rows"))  # one row per kind
+    total = rows.groupBy(kind).agg(F.count(F.lit(1)).alias("n_rows"))  # one row per kind
     return null_safe(stats.select(kind, key, "n_hits"), total, [kind]).where(F.col(key).isNotNull() & (F.col("n_hits") >= F.lit(share) * F.col("n_rows")))
