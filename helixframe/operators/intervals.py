@@ -29,21 +29,22 @@ def merge_intervals(df: DataFrame, entity: str, start: str, end: str, bucket_bit
     ends = F.array(F.struct(F.col("lo").alias("p"), F.lit(1).alias("s"), F.lit(0).alias("t")), F.struct(F.col("hi").alias("p"), F.lit(0).alias("s"), F.lit(1).alias("t")))
     pts = iv.select("e", F.inline(ends)).groupBy("e", "p").agg(F.sum("s").cast("bigint").alias("s"), F.sum("t").cast("bigint").alias("t"))
     pts = pts.withColumn("bk", F.shiftright("p", bucket_bits))
-    totals = pts.groupBy("e", "bk").agg(F.sum("s").alias("s"), F.sum("t").alias("t"), F.min("p").alias("first"), F.max("p").alias("last"))
+    totals = pts.groupBy("e", "bk").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
     base = prefix_over_buckets(totals, ["e"], "bk", ["s", "t"])
     upto = W.partitionBy("e", "bk").orderBy("p").rowsBetween(W.unboundedPreceding, 0)
     ranked = pts.withColumn("cs", F.sum("s").over(upto)).withColumn("ct", F.sum("t").over(upto)).join(base, ["e", "bk"])
     # rank = how many starts (ends) of the entity lie before this one / up to and with this one
-    starts = ranked.where("s > 0").select("e", (F.col("before_s") + F.col("cs") - F.col("s")).alias("rank"), F.col("p").alias("next_start"))
-    stops = ranked.where("t > 0").select("e", (F.col("before_t") + F.col("ct")).alias("rank"), F.col("p").alias("prev_end"))
-    inner = starts.join(stops, ["e", "rank"]).where(F.col("next_start") > F.col("prev_end") + 1)
+    begun, ended = F.col("before_s") + F.col("cs"), F.col("before_t") + F.col("ct")
+    start_rank, stop_rank = begun - F.col("s"), ended
     null = F.lit(None).cast("bigint")
-    edges = totals.groupBy("e").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("s").alias("n"))
-    edges = edges.select("e", F.inline(F.array(
-        F.struct(F.lit(0).cast("bigint").alias("rank"), F.col("first").alias("next_start"), null.alias("prev_end")),
-        F.struct(F.col("n").alias("rank"), null.alias("next_start"), F.col("last").alias("prev_end")),
-    )))
-    breaks = inner.select("e", "rank", "next_start", "prev_end").unionByName(edges).withColumn("rb", F.floor(F.col("rank") / rank_span).cast("bigint"))
+    # a break's start and end have equal ranks only where all that began before has ended: others aren't sent
+    bounds = F.array(
+        F.when((F.col("s") > 0) & (start_rank == ended - F.col("t")), F.struct(start_rank.alias("rank"), F.col("p").alias("next_start"), null.alias("prev_end"))),
+        F.when((F.col("t") > 0) & (stop_rank == begun), F.struct(stop_rank.alias("rank"), null.alias("next_start"), F.col("p").alias("prev_end"))),
+    )
+    met = ranked.select("e", F.inline(F.filter(bounds, lambda x: x.isNotNull()))).groupBy("e", "rank").agg(F.max("next_start").alias("next_start"), F.max("prev_end").alias("prev_end"))
+    # the start of rank 0 has no end before it, the last end no start after it
+    breaks = met.where("next_start is null or prev_end is null or next_start > prev_end + 1").withColumn("rb", F.floor(F.col("rank") / rank_span).cast("bigint"))
     # the period that a break opens ends where the next break stands; the next may lie in a later bucket
     nxt = W.partitionBy("e", "rb").orderBy("rank")
     firsts = breaks.groupBy("e", "rb").agg(F.min_by("prev_end", "rank").alias("f"))
