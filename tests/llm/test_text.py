@@ -32,6 +32,22 @@ def test_span_of():
     assert leaks.span_of(np.array([], int), item) == 0 and leaks.span_of(np.random.default_rng(1).permutation(item), item) == 0
 
 
+def test_common_length_and_answer():
+    def plain(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                t[i][j] = t[i - 1][j - 1] + 1 if x == y else max(t[i - 1][j], t[i][j - 1])
+        return t[-1][-1]
+
+    r = np.random.default_rng(3)
+    for _ in range(40):
+        a, b = r.integers(0, 6, r.integers(0, 30)), r.integers(0, 6, r.integers(1, 20))
+        assert leaks.common_length(a, b) == plain(a.tolist(), b.tolist())
+    item = np.arange(40)
+    assert leaks.holds_answer(item[20:], item) and not leaks.holds_answer(item[:24], item)
+
+
 def test_leaks_against_brute_force(spark):
     r = random.Random(4)
     docs = []
@@ -58,7 +74,7 @@ def test_leaks_against_brute_force(spark):
     assert got == want and {(None, 0), (502, 1), (503, 1)} <= got and not any(d == 504 for d, _ in got)
     assert leaks.find_leaks(df.where("false"), items, "doc_id", "item_id").count() == 0
     assert leaks.find_leaks(df, items.where("false"), "doc_id", "item_id").count() == 0
-    rep = {x["item_id"]: x["documents"] for x in leaks.report(spark.createDataFrame(list(got), "doc_id long, item_id long").withColumn("span", F.lit(20)), items.where("item_id is not null"), "item_id").collect()}
+    rep = {x["item_id"]: x["documents"] for x in leaks.report(spark.createDataFrame(list(got), "doc_id long, item_id long").withColumn("span", F.lit(20)).withColumn("answer", F.lit(True)), items.where("item_id is not null"), "item_id").collect()}
     assert rep[99] == 0 and rep[1] == sum(i == 1 for _, i in got)
 
 
