@@ -18,7 +18,7 @@ from helixframe.session import cut
 VOCABULARY = 1 << 15
 LEAST_DOCS, LEAST_SHARE = 3, 5e-5
 PER_SUBJECT, BACKGROUND = 2, 8
-ROUNDS, INNER = 12, 6
+ROUNDS, INNER = 8, 6
 ALPHA, ALPHA_BACKGROUND, BETA = 0.05, 0.5, 0.01
 TOP_TERMS, MAPPED, LEAST_TOLD = 25, 0.5, 0.03
 SPECIFIC, DOC_SHARE = 0.6, 1 / 3
