@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from helixframe.llm.partial_sums import summed
 from helixframe.session import cut
 
-VOCABULARY = 1 << 15
-LEAST_DOCS, LEAST_SHARE = 3, 5e-5
+LEAST_DOCS = 3
 PER_SUBJECT, BACKGROUND = 2, 8
 ROUNDS, INNER = 8, 6
 ALPHA, ALPHA_BACKGROUND, BETA = 0.05, 0.5, 0.01
@@ -25,7 +24,7 @@ SPECIFIC, DOC_SHARE = 0.6, 1 / 3
 SHRINK = 3.0
 LABELLED, LABEL_SHARE = 5, 0.4
 QUOTED_WORDS, QUOTED_SHARE = 4, 0.5
-COMMON = 150
+COMMON_SHARE = 12
 
 _CODE = [re.compile(p, re.S | re.M) for p in (r"```.*?(?:```|\Z)", r"<pre\b.*?(?:</pre>|\Z)", r"<code\b.*?(?:</code>|\Z)", r"^(?: {4}|\t)\S.*?$", r"https?://\S+")]
 _BLOCK = re.compile(r"</?(?:p|br|div|li|ul|ol|h\d|pre|blockquote|tr|td|table)\b[^<>]*>", re.I)
@@ -124,7 +123,7 @@ def telling_words(docs: DataFrame, named: DataFrame, words: list[str]) -> set[st
 
 
 def count_terms(docs: DataFrame, named: DataFrame) -> tuple[list[tuple[str, int]], frozenset[str], int]:
-    """Document counts over all documents of the VOCABULARY most frequent terms, common words, documents."""
+    """Document counts over all documents of every term that LEAST_DOCS of them hold, common words, documents."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,10 +136,11 @@ def count_terms(docs: DataFrame, named: DataFrame) -> tuple[list[tuple[str, int]
     def total(df: DataFrame) -> DataFrame:
         return df.groupBy("term").agg(F.sum("n").cast("bigint").alias("n"))
 
-    top = total(docs.select("text").mapInArrow(words, "term string, n bigint")).orderBy(F.desc("n"), "term").limit(COMMON + 1).collect()
-    n_docs = max((r["n"] for r in top if r["term"] == ""), default=0)
-    # words in more than a twelfth of all documents carry no subject, unless labels show that they do
-    often = [r["term"] for r in top if r["term"] and r["n"] > n_docs / 12]
+    counted = cut(total(docs.select("text").mapInArrow(words, "term string, n bigint")))
+    n_docs = sum(r["n"] for r in counted.where("term = ''").collect())  # one row
+    # words in more than a twelfth of all documents carry no subject, unless labels show that they do; there are
+    # twelve times as many as a document has different words on average, at most
+    often = [r["term"] for r in counted.where((F.col("term") != "") & (F.col("n") * COMMON_SHARE > n_docs)).orderBy(F.desc("n"), "term").collect()]
     common = frozenset(often) - telling_words(docs, named, often)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +150,7 @@ def count_terms(docs: DataFrame, named: DataFrame) -> tuple[list[tuple[str, int]
                 c.update({w for s in sentences(t.as_py()) for w in terms_of(s, common)})
             yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], names=["term", "n"])
 
-    least = max(LEAST_DOCS, int(n_docs * LEAST_SHARE))
-    got = total(docs.select("text").mapInArrow(terms, "term string, n bigint")).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(VOCABULARY).collect()
+    got = total(docs.select("text").mapInArrow(terms, "term string, n bigint")).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "term").collect()
     return [(r["term"], r["n"]) for r in got], common, n_docs
 
 

@@ -137,3 +137,18 @@ def test_subjects_of_a_small_corpus(spark):
     assert set(share) == set(terms) and 0.9 < sum(share.values()) <= 1
     assert subjects.document_subjects(df, lab.where("false"), areas).count() == 0
     assert subjects.document_subjects(df.where("false"), lab, areas).count() == 0
+
+
+def test_every_term_of_three_documents_counts(spark):
+    named = spark.createDataFrame([], "doc_id long, subject string")
+    letters = [chr(97 + k) for k in range(26)]
+    many = [f"q{a}{b}{c}{d}" for a in letters for b in letters for c in letters for d in letters[:2]]  # 35,152
+    common = [f"x{a}{b}" for a in letters[:20] for b in letters[:10]]  # 200
+    docs = [(n, " ".join(many)) for n in range(3)] + [(10 + n, " ".join(common)) for n in range(10)] + [(100 + n, "idle") for n in range(50)]
+    counts, left_out, n_docs = subjects.count_terms(spark.createDataFrame(docs, "doc_id long, text string"), named)
+    assert n_docs == 63 and left_out == frozenset([*common, "idle"])
+    got = dict(counts)
+    assert set(many) <= set(got) and len(got) == 2 * len(many) - 1 and set(got.values()) == {3}
+    # the least number of documents doesn't rise with the corpus
+    large = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3, "rare term").otherwise("idle").alias("text"))
+    assert dict(subjects.count_terms(large, named)[0]) == {"rare": 3, "term": 3, "rare term": 3}
