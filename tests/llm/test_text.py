@@ -152,3 +152,18 @@ def test_every_term_of_three_documents_counts(spark):
     # the least number of documents doesn't rise with the corpus
     large = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3, "rare term").otherwise("idle").alias("text"))
     assert dict(subjects.count_terms(large, named)[0]) == {"rare": 3, "term": 3, "rare term": 3}
+
+
+def test_leaks_of_common_words_among_rare_ones(spark):
+    r = random.Random(8)
+    common, rare = NAMES[:14], [f"{a}{b}x" for a in NAMES[14:34] for b in NAMES[34:54]]
+    items = [(0, " ".join(common + rare[:14])), (1, " ".join(rare[14:300]))]
+    leak = [*common[:6], "other", *common[7:], *rare[200:214]]
+    docs = [(0, " ".join(leak))] + [(n, " ".join(r.sample(common, 14) + rare[20:34])) for n in range(1, 200)]
+    ev = leaks.Evaluation(items)
+    coded = {d: np.array([ev.terms.get(w, -1) for w in leaks.words(t)], np.int32) for d, t in docs}
+    want = {(d, i) for d, x in coded.items() for i, y in ev.items.items() if leaks.span_of(x, y)}
+    assert (0, 0) in want
+    assert all({ev.order.index(i) for j, i in want if j == d} <= ev.sharing_a_run(x) for d, x in coded.items())
+    found = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), "doc_id", "item_id")
+    assert {(x["doc_id"], x["item_id"]) for x in found.collect()} == want
