@@ -167,3 +167,14 @@ def test_leaks_of_common_words_among_rare_ones(spark):
     assert all({ev.order.index(i) for j, i in want if j == d} <= ev.sharing_a_run(x) for d, x in coded.items())
     found = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), "doc_id", "item_id")
     assert {(x["doc_id"], x["item_id"]) for x in found.collect()} == want
+
+
+def test_passes_over_the_documents(spark, monkeypatch):
+    """All twelve passes are made: a pass is one sum over documents, besides that of the labels."""
+    calls = []
+    summed = subjects.summed
+    monkeypatch.setattr(subjects, "summed", lambda *a: calls.append(1) or summed(*a))
+    docs = spark.createDataFrame([(n, "violin cadence soprano.") for n in range(5)] + [(n, "statute probate plaintiff.") for n in range(5, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, "music") for n in range(5)], "doc_id long, subject string")
+    subjects.fit(docs, labels, ["law", "music"])
+    assert len(calls) == 13
