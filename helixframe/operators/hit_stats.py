@@ -73,7 +73,10 @@ def chance_probability(genome_length: int):
 
     @F.pandas_udf(T.DoubleType())
     def run(matches: pd.Series, mismatches: pd.Series, crossovers: pd.Series, read_length: pd.Series, ins: pd.Series, dels: pd.Series) -> pd.Series:
-        t, parts, seen, out = P.lgamma_table(4096), P.partitions_table(64), {}, []
+        # tables up to the largest value of the batch: words of k letters, and as many deletions among them
+        most = max((sum(map(int, v)) for c in (ins, dels) for v in c if v is not None), default=0)
+        letters = int((matches.fillna(0) + mismatches.fillna(0)).max()) if len(matches) else 0
+        t, parts, seen, out = P.lgamma_table(letters + 2 * most + 2), P.partitions_table(most), {}, []
         for m, s, x, n, i, d in zip(matches, mismatches, crossovers, read_length, ins, dels):
             if pd.isna(m) or pd.isna(s) or pd.isna(x) or pd.isna(n) or i is None or d is None:
                 out.append(None)
@@ -81,7 +84,7 @@ def chance_probability(genome_length: int):
             i, d = [int(v) for v in i], [int(v) for v in d]
             key = (int(m), int(s), int(x), int(n), tuple(i), tuple(d))
             if key not in seen:
-                seen[key] = P.chance_probability(genome_length, key[0] + key[1] + sum(i), key[1], key[2], key[3], i, d, t, parts) if sum(i) <= 64 and sum(d) <= 64 else P.ALMOST_ZERO
+                seen[key] = P.chance_probability(genome_length, key[0] + key[1] + sum(i), key[1], key[2], key[3], i, d, t, parts)
             out.append(seen[key])
         return pd.Series(out, dtype="float64")
 

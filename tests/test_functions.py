@@ -154,3 +154,14 @@ def test_colour_alignment_explains_colour_errors():
     score, start, ops, crossed = K.colour_alignments(K.encode(g[1:2]), K.decode_layers([colour(gap)]), P.COLOUR)[0]
     assert start == 5 and crossed == 0 and ops.count("D") == 2 and score == 300 - 33 - 14
     assert K.pretty("=XID=", "ACGT", "AGTT", 0) == "G: AC-GT\n   |   |\nR: AGT-T"
+
+
+def test_chance_probability_of_long_indels(spark):
+    from helixframe.operators import hit_stats as H
+
+    rows = [(20, 1, 0, 120, [70], [2]), (20, 1, 0, 120, [1], [40, 40]), (5000, 0, 0, 5000, [], []), (20, 1, 0, 30, [2], [])]
+    df = spark.createDataFrame(rows, "m int, s int, x int, n int, i array<int>, d array<int>").coalesce(1)
+    got = [r[0] for r in df.select(H.chance_probability(10**9)("m", "s", "x", "n", "i", "d")).collect()]
+    t, parts = P.lgamma_table(6000), P.partitions_table(100)
+    want = [P.chance_probability(10**9, m + s + sum(i), s, x, n, i, d, t, parts) for m, s, x, n, i, d in rows]
+    assert got == want and max(want[:2]) > P.ALMOST_ZERO
