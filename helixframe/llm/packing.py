@@ -75,7 +75,7 @@ class Plan:
                 room = self.capacity - j
                 low = self.smallest(j, 3)
                 if not low or low[0] > room:
-                    self.fix(j, [], self.left[j] if not low or j + j > self.capacity else 1)
+                    self.fix(j, [], self.left[j])  # a second of size j doesn't fit either
                     continue
                 i = bisect_right(self.live, room) - 1
                 k = self.live[i]
@@ -89,10 +89,9 @@ class Plan:
                     pair = self.best_pair(room, j)
                     if pair and sum(pair) > k:
                         break
-                times = self.left[j] // 2 if k == j else min(self.left[j], self.left[k])
-                if k < room and len(low) > 1 and low[0] + low[1] <= room:
-                    times = 1  # the two-partner test depends on what is left
-                self.fix(j, [k], times)
+                # as often as both last: taking items away only takes choices away, so while one of size k is
+                # left it stays the largest that fits, no three come to fit and no pair comes to be larger
+                self.fix(j, [k], self.left[j] // 2 if k == j else min(self.left[j], self.left[k]))
 
     def best_fit(self) -> None:
         """Best-fit decreasing of what is left, all items of a size at once: open chunks are kept as

@@ -26,6 +26,18 @@ def p1_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_chunks(spark, d), CHUNK)
 
 
+def p1_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the chunks: all contigs and bases are there once, none is cut that fits, no chunk is overfull."""
+    c = _chunks(spark, d).where("chunk is not null")
+    items = c.groupBy("item").agg(F.count(F.lit(1)).alias("parts"), F.sum("part_size").alias("bases"), F.max("n_parts").alias("n"))
+    a = items.agg(
+        F.count(F.lit(1)).alias("contigs"), F.sum("parts").alias("parts"), F.sum("bases").cast("bigint").alias("bases"),
+        F.count_if((F.col("parts") != F.col("n")) | ((F.col("n") > 1) & (F.col("bases") <= CHUNK))).alias("cut_wrong"),
+    )
+    b = c.groupBy("chunk").agg(F.sum("part_size").alias("used")).agg(F.count_if(F.col("used") > CHUNK).alias("overfull"))
+    return a.join(b)  # one row each
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pretty").select("read_group", F.to_date("run_at").alias("day"), F.abs(F.col("isize").cast("bigint")).alias("v")).where("v > 0")
     return percentiles.sketch(p, ["read_group", "day"], F.col("v"))
@@ -96,7 +108,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return subjects.corpus_shares(table(spark, d, "documents"), _subjects(spark, d), table(spark, d, "subject_areas"))
 
 
-QUERIES = {f.__name__: f for f in (p1_chunks, p1_fill, p2_by_day, p2_all_days, p2_by_week, p6_found, p6_pieces, p7_found, p8_found, p8_items, p9_draws, p9_shares, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_chunks, p1_fill, p1_checks, p2_by_day, p2_all_days, p2_by_week, p6_found, p6_pieces, p7_found, p8_found, p8_items, p9_draws, p9_shares, p10_found, p10_shares)}
 
 _G = (1 + percentiles.ALPHA) / (1 - percentiles.ALPHA)
 
@@ -111,6 +123,8 @@ def _percentile_sql(keys: str) -> str:
 
 
 SQL = {
+    "p1_checks": f"""with c as (select name, max(coalesce(size, length(seq))) s from contig group by name)
+ select count(*) contigs, cast(sum(greatest(1, ceil(s / {CHUNK}))) as bigint) parts, cast(sum(s) as bigint) bases, cast(0 as bigint) cut_wrong, cast(0 as bigint) overfull from c where s is not null""",
     "p2_by_day": _percentile_sql("read_group, day"),
     "p2_all_days": _percentile_sql("read_group"),
     "p2_by_week": _percentile_sql("read_group, week"),

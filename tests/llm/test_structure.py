@@ -55,6 +55,29 @@ def test_reduction_fixes_dominating_sets():
     assert p.fixed >= 3 and 9 not in p.live and 7 not in p.live
 
 
+def test_plan_does_not_grow_with_the_items():
+    p = packing.plan({40000: 10**9, 23000: 10**9, 11000: 10**9}, 64000)
+    assert len(p.slots) < 10 and p.chunks == 1_200_000_000
+    # as many chunks for thousand times the items, and never more slots
+    rng = random.Random(3)
+    hist = {s: rng.randrange(1, 9) for s in range(120, 1000, 7)}
+    one, many = packing.plan(hist, 1000), packing.plan({s: n * 1000 for s, n in hist.items()}, 1000)
+    assert len(many.slots) <= 3 * len(hist) and many.chunks <= one.chunks * 1000
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sets_fixed_many_times_at_once_are_those_fixed_one_by_one(seed, monkeypatch):
+    rng = random.Random(seed)
+    hist = Counter(rng.randrange(15, 100) for _ in range(200))
+    at_once = packing.Plan(hist, 100)
+    at_once.reduce()
+    once = packing.Plan.fix
+    monkeypatch.setattr(packing.Plan, "fix", lambda self, j, partners, times: once(self, j, partners, 1))
+    singly = packing.Plan(hist, 100)
+    singly.reduce()
+    assert at_once.left == singly.left and at_once.chunks == singly.chunks
+
+
 def test_pack(spark):
     rng = random.Random(5)
     rows = [(i, f"c{i % 900}", rng.choice([1, 5, 333, rng.randrange(1, 1000)]), "x") for i in range(900)]
