@@ -4,20 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from helixframe.operators.ranking import prefix_over_buckets
-
 BUCKET_BITS = 20
 RANK_SPAN = 1 << 17
 
 
+def ranked_positions(iv: DataFrame, at: str, bucket_bits: int = BUCKET_BITS) -> DataFrame:
+    """e, p, n, upto, total: the distinct values of one column of an entity in their order, how many rows have
+    each, how many have it or a lower one, and how many there are.
+
+    Equal positions are counted before they are sent; counts per bucket of 2^bucket_bits positions are
+    prefix-summed, so a task sorts no more than that many positions of an entity, however many rows it has.
+    """
+    pts = iv.groupBy("e", F.col(at).alias("p")).agg(F.count(F.lit(1)).alias("n")).withColumn("bk", F.shiftright("p", bucket_bits))
+    totals = pts.groupBy("e", "bk").agg(F.sum("n").alias("t"))
+    of = W.partitionBy("e")
+    earlier = F.sum("t").over(of.orderBy("bk").rowsBetween(W.unboundedPreceding, -1))
+    base = totals.select("e", "bk", F.coalesce(earlier, F.lit(0)).alias("before"), F.sum("t").over(of).alias("total"))
+    within = F.sum("n").over(W.partitionBy("e", "bk").orderBy("p").rowsBetween(W.unboundedPreceding, 0))
+    return pts.withColumn("c", within).join(base, ["e", "bk"]).select("e", "p", "n", (F.col("before") + F.col("c")).alias("upto"), "total")
+
+
 def merge_intervals(df: DataFrame, entity: str, start: str, end: str, bucket_bits: int = BUCKET_BITS, rank_span: int = RANK_SPAN) -> DataFrame:
     """Merges the inclusive integer ranges of every entity; touching ranges continue each other.
 
-    Starts and ends are ranked independently of each other. Between ranks i and i+1 the coverage
+    Starts and ends are sorted and ranked independently of each other. Between ranks i and i+1 the coverage
     breaks exactly if the (i+1)-th start exceeds the i-th end by more than one; a break's end and
-    start bound the gap, and neighbouring breaks bound a period. Ranks come from counts per bucket of
-    2^bucket_bits positions, so a task holds no more than that many distinct positions of an entity
-    however many rows it has; equal positions are counted before they are sent.
+    start bound the gap, and neighbouring breaks bound a period. The two meet in an equi-join on
+    (entity, rank), which spreads an entity of any size. As the i-th end is never below the i-th start, only
+    the first of equal starts and the last of equal ends can stand at a break: just these are joined.
 
     Result: entity, kind ('covered' or 'gap'), pos_from, pos_to (bigint, inclusive); one gap for each
     hole of any length between two periods.
@@ -26,32 +40,22 @@ def merge_intervals(df: DataFrame, entity: str, start: str, end: str, bucket_bit
     """
     a, b = F.col(start).cast("bigint"), F.col(end).cast("bigint")
     iv = df.where(F.col(entity).isNotNull() & a.isNotNull() & b.isNotNull()).select(F.col(entity).alias("e"), F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
-    ends = F.array(F.struct(F.col("lo").alias("p"), F.lit(1).alias("s"), F.lit(0).alias("t")), F.struct(F.col("hi").alias("p"), F.lit(0).alias("s"), F.lit(1).alias("t")))
-    pts = iv.select("e", F.inline(ends)).groupBy("e", "p").agg(F.sum("s").cast("bigint").alias("s"), F.sum("t").cast("bigint").alias("t"))
-    pts = pts.withColumn("bk", F.shiftright("p", bucket_bits))
-    totals = pts.groupBy("e", "bk").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
-    base = prefix_over_buckets(totals, ["e"], "bk", ["s", "t"])
-    upto = W.partitionBy("e", "bk").orderBy("p").rowsBetween(W.unboundedPreceding, 0)
-    ranked = pts.withColumn("cs", F.sum("s").over(upto)).withColumn("ct", F.sum("t").over(upto)).join(base, ["e", "bk"])
-    # rank = how many starts (ends) of the entity lie before this one / up to and with this one
-    begun, ended = F.col("before_s") + F.col("cs"), F.col("before_t") + F.col("ct")
-    start_rank, stop_rank = begun - F.col("s"), ended
-    null = F.lit(None).cast("bigint")
-    # a break's start and end have equal ranks only where all that began before has ended: others aren't sent
-    bounds = F.array(
-        F.when((F.col("s") > 0) & (start_rank == ended - F.col("t")), F.struct(start_rank.alias("rank"), F.col("p").alias("next_start"), null.alias("prev_end"))),
-        F.when((F.col("t") > 0) & (stop_rank == begun), F.struct(stop_rank.alias("rank"), null.alias("next_start"), F.col("p").alias("prev_end"))),
-    )
-    met = ranked.select("e", F.inline(F.filter(bounds, lambda x: x.isNotNull()))).groupBy("e", "rank").agg(F.max("next_start").alias("next_start"), F.max("prev_end").alias("prev_end"))
-    # the start of rank 0 has no end before it, the last end no start after it
-    breaks = met.where("next_start is null or prev_end is null or next_start > prev_end + 1").withColumn("rb", F.floor(F.col("rank") / rank_span).cast("bigint"))
-    # the period that a break opens ends where the next break stands; the next may lie in a later bucket
-    nxt = W.partitionBy("e", "rb").orderBy("rank")
-    firsts = breaks.groupBy("e", "rb").agg(F.min_by("prev_end", "rank").alias("f"))
-    follow = firsts.select("e", "rb", F.lead("f").over(W.partitionBy("e").orderBy("rb")).alias("f"))
-    done = breaks.withColumn("close", F.lead("prev_end").over(nxt)).join(follow, ["e", "rb"])
+    # rank: how many starts lie before this one / how many ends up to and with this one
+    starts = ranked_positions(iv, "lo", bucket_bits).select("e", (F.col("upto") - F.col("n")).alias("rank"), F.col("p").alias("next_start"))
+    ends = ranked_positions(iv, "hi", bucket_bits).select("e", F.col("upto").alias("rank"), F.col("p").alias("prev_end"), (F.col("upto") == F.col("total")).alias("last"))
+    # the start of rank 0 has no end before it, the last end no start after it: they bound the outer periods
+    outer = (F.col("rank") == 0) | F.col("last")
+    breaks = starts.join(ends, ["e", "rank"], "full").where(outer | (F.col("next_start") > F.col("prev_end") + 1)).withColumn("rb", F.floor(F.col("rank") / rank_span).cast("bigint"))
+    # the period that a break opens ends where the next break stands; the next may lie in a later span of ranks.
+    # Whole structs are carried, so that both uses of the breaks need the same columns and share one exchange
+    at_break = F.struct("next_start", "prev_end")
+    by_rank = W.partitionBy("e", "rb").orderBy("rank")
+    spans = breaks.withColumn("b", at_break).select("e", "rb", "rank", "b", F.lead("b").over(by_rank).alias("nb"), F.lag("rank").over(by_rank).alias("earlier"))
+    firsts = spans.where("earlier is null").select("e", "rb", F.lead("b").over(W.partitionBy("e").orderBy("rb")).alias("fb"))
+    done = spans.join(firsts, ["e", "rb"])
+    opens, before = F.col("b.next_start"), F.col("b.prev_end")
     rows = F.array(
-        F.when(F.col("next_start").isNotNull(), F.struct(F.lit("covered").alias("kind"), F.col("next_start").alias("pos_from"), F.coalesce("close", "f").alias("pos_to"))),
-        F.when(F.col("next_start").isNotNull() & F.col("prev_end").isNotNull(), F.struct(F.lit("gap").alias("kind"), (F.col("prev_end") + 1).alias("pos_from"), (F.col("next_start") - 1).alias("pos_to"))),
+        F.when(opens.isNotNull(), F.struct(F.lit("covered").alias("kind"), opens.alias("pos_from"), F.coalesce("nb.prev_end", "fb.prev_end").alias("pos_to"))),
+        F.when(opens.isNotNull() & before.isNotNull(), F.struct(F.lit("gap").alias("kind"), (before + 1).alias("pos_from"), (opens - 1).alias("pos_to"))),
     )
     return done.select(F.col("e").alias(entity), F.inline(F.filter(rows, lambda x: x.isNotNull())))
