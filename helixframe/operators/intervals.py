@@ -15,6 +15,8 @@ def ranked_positions(iv: DataFrame, at: str, bucket_bits: int = BUCKET_BITS) ->
     Equal positions are counted before they are sent; counts per bucket of 2^bucket_bits positions are
     prefix-summed, so a task sorts no more than that many positions of an entity, however many rows it has.
     """
+    # the joins below would filter one use of these rows only; filtered here, both uses share one exchange
+    iv = iv.where(F.shiftright(at, bucket_bits).isNotNull())
     pts = iv.groupBy("e", F.col(at).alias("p")).agg(F.count(F.lit(1)).alias("n")).withColumn("bk", F.shiftright("p", bucket_bits))
     totals = pts.groupBy("e", "bk").agg(F.sum("n").alias("t"))
     of = W.partitionBy("e")
@@ -45,7 +47,7 @@ def merge_intervals(df: DataFrame, entity: str, start: str, end: str, bucket_bit
     ends = ranked_positions(iv, "hi", bucket_bits).select("e", F.col("upto").alias("rank"), F.col("p").alias("prev_end"), (F.col("upto") == F.col("total")).alias("last"))
     # the start of rank 0 has no end before it, the last end no start after it: they bound the outer periods
     outer = (F.col("rank") == 0) | F.col("last")
-    breaks = starts.join(ends, ["e", "rank"], "full").where(outer | (F.col("next_start") > F.col("prev_end") + 1)).withColumn("rb", F.floor(F.col("rank") / rank_span).cast("bigint"))
+    breaks = starts.join(ends, ["e", "rank"], "full").where(outer | (F.col("next_start") > F.col("prev_end") + 1)).withColumn("rb", F.floor(F.col("rank") / rank_span).cast("bigint")).where("e is not null and rb is not null")
     # the period that a break opens ends where the next break stands; the next may lie in a later span of ranks.
     # Whole structs are carried, so that both uses of the breaks need the same columns and share one exchange
     at_break = F.struct("next_start", "prev_end")
