@@ -146,6 +146,18 @@ def test_row_reasons_against_an_automaton(spark):
     assert got == {i: reason(c) for i, c in enumerate(CASES, 1)} | {902: "columns"}
 
 
+def test_first_broken_field_by_prefix_patterns():
+    s = row_parsing.Schema(["readname", "editstring", "contigname", "score"])
+    assert s.whole.match('a\t3A2\t"g\th"\t" 12 "').groups() == ("a", "3A2", '"g\th"', '" 12 "')
+    for body, want in {
+        "a\t3A2\tg\tx": ("score", 4), "a\t??\tg\t1": ("edit", 2), "a\t??\tg\tx": ("score", 4), 'a\t??\t"g\tx': ("quoting", 3), 'a\t3\tg\t1\tq"': ("quoting", 5),
+        "a\t??": ("columns", 3), "a\t3\tg\t1\t": ("columns", 5), '"a\tb"\t3': ("columns", 3), "a\t3\tg\t2147483648": ("score", 4), "a\t3\tg\t-2147483649": ("score", 4),
+    }.items():
+        assert not s.whole.match(body) and s.broken(body) == want, body
+    assert all(s.whole.match(f"a\t3\tg\t{n}") for n in ("2147483647", "-2147483648", "0", "-0", "000", "0" * 40 + "7", "1" * 9))
+    assert row_parsing.Schema([]).broken("a") == ("columns", 1)
+
+
 def test_typed_hits(spark):
     rows = [(1, 1, 1, "#FORMAT: score readname editstring pchance"), (2, 1, 2, '>" 7 "\t"a ""b"""\t3A\t0.5'), (3, 1, 3, "#FORMAT: readname contigname"), (4, 1, 4, ">r\tg"), (5, 1, 5, ">r\tg"), (6, 1, 6, ">r")]
     df = spark.createDataFrame(rows, "line_id long, file_no int, line_no int, line string")
