@@ -139,19 +139,45 @@ def test_subjects_of_a_small_corpus(spark):
     assert subjects.document_subjects(df.where("false"), lab, areas).count() == 0
 
 
+def vocabulary_of(df, named):
+    words, dictionary = subjects.read_words(df)
+    voc, n_docs = subjects.build_vocabulary(words, dictionary, named, ["law"], [])
+    word = {r["h"]: r["word"] for r in dictionary.collect()}
+    return dict(zip(voc.names, voc.counts)), {word[h] for h in voc.common.tolist()}, n_docs
+
+
 def test_every_term_of_three_documents_counts(spark):
     named = spark.createDataFrame([], "doc_id long, subject string")
     letters = [chr(97 + k) for k in range(26)]
     many = [f"q{a}{b}{c}{d}" for a in letters for b in letters for c in letters for d in letters[:2]]  # 35,152
     common = [f"x{a}{b}" for a in letters[:20] for b in letters[:10]]  # 200
     docs = [(n, " ".join(many)) for n in range(3)] + [(10 + n, " ".join(common)) for n in range(10)] + [(100 + n, "idle") for n in range(50)]
-    counts, left_out, n_docs = subjects.count_terms(spark.createDataFrame(docs, "doc_id long, text string"), named)
-    assert n_docs == 63 and left_out == frozenset([*common, "idle"])
-    got = dict(counts)
+    got, left_out, n_docs = vocabulary_of(spark.createDataFrame(docs, "doc_id long, text string"), named)
+    assert n_docs == 63 and left_out == {*common, "idle"}
     assert set(many) <= set(got) and len(got) == 2 * len(many) - 1 and set(got.values()) == {3}
     # the least number of documents doesn't rise with the corpus
     large = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3, "rare term").otherwise("idle").alias("text"))
-    assert dict(subjects.count_terms(large, named)[0]) == {"rare": 3, "term": 3, "rare term": 3}
+    assert vocabulary_of(large, named)[0] == {"rare": 3, "term": 3, "rare term": 3}
+
+
+def test_encoded_documents(spark):
+    texts = ["Violin cadence. Violin!", None, "", "The violni cadence\nstatute probate", "a statuteprobate. probate", "quoted words stand here. violin"]
+    voc = subjects.Vocabulary([], np.zeros(0, np.int64), np.zeros(0, np.int64))
+    names = ["violin", "cadence", "statute", "probate", "violin cadence", "statute probate"]
+    h = [subjects.number_of(w) for w in names]
+    rows = [(h[k], 0, 9, names[k]) for k in range(4)] + [(h[0], h[1], 9, names[4]), (h[2], h[3], 9, names[5]), (subjects.number_of("rare"), 0, 2, "rare")]
+    numbers = subjects.Numbers()
+    item = numbers.of("quoted words stand here")
+    voc = subjects.Vocabulary(rows, np.array([subjects.number_of("the")]), np.unique(subjects.pair_key(item[:-2], item[1:-1])))
+    spelling, joined = voc.spelling()
+    assert spelling.fix("violni") == "violin" and joined == {"violincadence": "violin cadence", "statuteprobate": "statute probate"}
+    voc.fixed = np.array(sorted([(subjects.number_of("violni"), h[0], 0), (subjects.number_of("statuteprobate"), h[2], h[3])]), np.int64).T.copy()
+    of = [numbers.of(t) for t in texts]
+    ids, lens = voc.encode(np.concatenate(of), np.array([len(x) for x in of]))
+    got = [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])]
+    assert got == [[0, 1, 4, -1, 0, -1], [], [], [0, 1, 4, -1, 2, 3, 5, -1], [2, 3, 5, -1, 3, -1], [0, -1]]
+    back = subjects.flat(subjects.packed(ids, lens), np.int32)
+    assert back[0].tolist() == ids.tolist() and back[1].tolist() == lens.tolist()
 
 
 def test_leaks_of_common_words_among_rare_ones(spark):
@@ -170,11 +196,28 @@ def test_leaks_of_common_words_among_rare_ones(spark):
 
 
 def test_passes_over_the_documents(spark, monkeypatch):
-    """All twelve passes are made: a pass is one sum over documents, besides that of the labels."""
+    """Passes go on until the topics hardly change; each is one sum over all documents, besides those of the labels."""
     calls = []
     summed = subjects.summed
     monkeypatch.setattr(subjects, "summed", lambda *a: calls.append(1) or summed(*a))
     docs = spark.createDataFrame([(n, "violin cadence soprano.") for n in range(5)] + [(n, "statute probate plaintiff.") for n in range(5, 60)], "doc_id long, text string")
     labels = spark.createDataFrame([(n, "music") for n in range(5)], "doc_id long, subject string")
-    subjects.fit(docs, labels, ["law", "music"])
-    assert len(calls) == 13
+    model, _ = subjects.fit(docs, labels, ["law", "music"])
+    assert len(calls) == model.passes + 2 and model.passes >= subjects.LEAST_PASSES and model.change < subjects.TOLERANCE
+
+
+def test_inference_against_one_document_at_a_time():
+    rng = np.random.default_rng(3)
+    topics = rng.dirichlet(np.ones(50), 4).T.astype(np.float32)
+    alpha = np.full(4, 0.1, np.float32)
+    lens = [0, 3, 700, 1, 40, 0, 9000]
+    doc = np.repeat(np.arange(len(lens)), lens)
+    term = rng.integers(0, 50, len(doc))
+    gamma, weight = subjects.infer(term, doc, len(lens), topics, alpha)
+    for d, n in enumerate(lens):
+        b, g = topics[term[doc == d]], alpha
+        for i in range(subjects.INNER):
+            s = b @ g
+            if i < subjects.INNER - 1:
+                g = alpha + g * (1 / s if n else s) @ b
+        assert np.allclose(gamma[d], g, rtol=1e-3) and np.allclose(weight[doc == d], 1 / s, rtol=1e-3)
