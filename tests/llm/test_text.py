@@ -214,10 +214,10 @@ def test_inference_against_one_document_at_a_time():
     doc = np.repeat(np.arange(len(lens)), lens)
     term = rng.integers(0, 50, len(doc))
     gamma, weight = subjects.infer(term, doc, len(lens), topics, alpha)
-    for d, n in enumerate(lens):
+    for d in range(len(lens)):
         b, g = topics[term[doc == d]], alpha
         for i in range(subjects.INNER):
             s = b @ g
             if i < subjects.INNER - 1:
-                g = alpha + g * (1 / s if n else s) @ b
+                g = alpha + g * ((1 / s) @ b)
         assert np.allclose(gamma[d], g, rtol=1e-3) and np.allclose(weight[doc == d], 1 / s, rtol=1e-3)
