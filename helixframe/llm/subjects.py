@@ -432,9 +432,12 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], evaluation: Dat
                 for x in range(0, len(term), 1 << 17):
                     part = slice(x, x + (1 << 17))
                     order = np.argsort(term[part], kind="stable")
-                    ids, first = np.unique(term[part][order], return_index=True)
-                    m[ids] += np.add.reduceat(gamma[doc[part][order]] * weight[part][order][:, None], first, axis=0)
-            return m
+                    t = term[part][order]
+                    first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+                    x = gamma[doc[part][order]]
+                    x *= weight[part][order][:, None]
+                    m[t[first]] += np.add.reduceat(x, first, axis=0)
+            return None if m is None else m.astype(np.float32)
 
         got = summed(coded.select("ids"), run, v * k).reshape(v, k)
         held.unpersist()
