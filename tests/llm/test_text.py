@@ -190,7 +190,8 @@ def test_leaks_of_common_words_among_rare_ones(spark):
     coded = {d: np.array([ev.terms.get(w, -1) for w in leaks.words(t)], np.int32) for d, t in docs}
     want = {(d, i) for d, x in coded.items() for i, y in ev.items.items() if leaks.span_of(x, y)}
     assert (0, 0) in want
-    assert all({ev.order.index(i) for j, i in want if j == d} <= ev.sharing_a_run(x) for d, x in coded.items())
+    sharing = ev.sharing_a_run(np.concatenate(list(coded.values())), np.array([len(x) for x in coded.values()]))
+    assert all({ev.order.index(i) for j, i in want if j == d} <= sharing[k] for k, d in enumerate(coded))
     found = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), "doc_id", "item_id")
     assert {(x["doc_id"], x["item_id"]) for x in found.collect()} == want
 
