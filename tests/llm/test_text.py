@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,11 +79,44 @@ def test_leaks_against_brute_force(spark):
     assert rep[99] == 0 and rep[1] == sum(i == 1 for _, i in got)
 
 
-def test_solve_meets_targets_under_caps():
-    rates = mixing.solve({"0:0:20": 1000, "1:1:20": 100, "3:3:20": 500, "0:1:12": 50}, ["a", "b", "c"], [0.6, 0.3, 0.1], [2, 3, 4])
-    a, b = 1000 * rates["0:0:20"], 100 * rates["1:1:20"]
-    assert abs(a / (a + b) - 2 / 3) < 1e-3 and rates["1:1:20"] <= 3 + 1e-9 and rates["3:3:20"] == 0 and rates["0:1:12"] == 0
-    assert mixing.solve({}, ["a"], [1.0], [1]) == {}
+def shares_of(spark, rows):
+    return spark.createDataFrame([(n, t, bytearray(np.array(p, np.float64).tobytes())) for n, (t, p) in enumerate(rows)], "doc_id long, tokens long, share binary")
+
+
+def test_rates_of_known_sources(spark):
+    none = shares_of(spark, [])
+    r = mixing.solve(np.array([1000.0, 100.0, 0.0]), none, np.array([0.6, 0.3, 0.1]), np.array([2.0, 3.0, 4.0]))
+    t = r.of_known() * [1000, 100, 0]
+    assert abs(t[0] / t[1] - 2) < 1e-3 and abs(t[1] - 300) < 1e-2 and r.of_known()[2] == 0
+    assert mixing.solve(np.zeros(1), none, np.ones(1), np.ones(1)).of_known().tolist() == [0.0]
+
+
+def test_rates_with_soft_membership_meet_the_targets(spark):
+    """A third of the tokens is of documents that belong to several sources in part; one source has no others."""
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(5, 60)), rng.dirichlet([1, 2, 0.7, 0.2])) for _ in range(300)]
+    known, weights, caps = np.array([9000.0, 6000.0, 0.0]), np.array([0.5, 0.35, 0.15]), np.array([2.0, 3.0, 2.0])
+    r = mixing.solve(known, shares_of(spark, rows).repartition(3), weights, caps)
+    p, t = np.array([p for _, p in rows]), np.array([t for t, _ in rows])
+    each = r.of(p)
+    got = r.of_known() * known + (each * t) @ p[:, :3]
+    assert np.abs(got / got.sum() - weights).max() < 1e-3 and (each >= 0).all() and each.max() <= 2 and (r.of_known() <= caps).all()
+    # the source that only unsure documents hold draws them by their share in it
+    assert np.corrcoef(each, p[:, 2])[0, 1] > 0.5
+
+
+def test_posteriors_are_calibrated(spark):
+    """Doubled words make a plain classifier twice too sure; texts that tell nothing give the prior."""
+    rng = random.Random(2)
+    docs = []
+    for n in range(1500):
+        s = rng.choices("ab", [3, 1])[0]
+        w = rng.choices(["left", "right"], [7, 3] if s == "a" else [3, 7])[0]
+        docs.append((n, " ".join(w + x for x in "cdefghij"), s))
+    m = spark.createDataFrame([(n, s, len(t), bytearray(mixing.features(t).tobytes())) for n, t, s in docs], "doc_id long, source string, tokens long, words binary")
+    c = mixing.train(m, ["a", "b"])
+    x = pa.array([mixing.features(" ".join("left" + x for x in "cdefghij")).tobytes()])
+    assert c.temperature > 2 and abs(c.posteriors(c.evidence(x))[0, 0] - 0.875) < 0.05
 
 
 def test_mix(spark):
@@ -95,7 +129,8 @@ def test_mix(spark):
     drawn, report = mixing.mix(df, targets)
     rows, rep = drawn.collect(), {x["source"]: x for x in report.collect()}
     cap = {"a": 2, "b": 3}
-    assert rows and all(0 < x["uses"] <= cap[x["source"]] and x["tokens"] > 0 for x in rows)
+    assert rows and all(0 < x["uses"] <= (2 if x["source"] is None else cap[x["source"]]) and x["tokens"] > 0 for x in rows)
+    assert rep[None]["documents"] == 3 and abs(sum(x["actual"] for x in rep.values()) - 1) < 1e-5
     assert abs(rep["a"]["actual"] - 5 / 9) < 0.01 and abs(rep["b"]["actual"] - 4 / 9) < 0.01
     assert not rep["missing"]["reachable"] and rep["z"]["tokens_drawn"] == 0 and rep["b"]["target"] == 0.4
     again, _ = mixing.mix(df.repartition(5), targets)
