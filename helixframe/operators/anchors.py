@@ -116,8 +116,9 @@ def candidate_windows(islands: DataFrame, read_len: str, contig_len: str, match:
 
 
 def window_text(windows: DataFrame, contigs: DataFrame, most: int = 1536, tile: int = 1024) -> DataFrame:
-    """Adds `text`: the contig's bases of a window of at most `most`, from tiles of the contigs by an equi-join."""
+    """Adds `text`: the contig's bases of a window of at most `most`, from tiles of the contigs by an equi-join.
+    A longer window is an error, never cut short."""
     t = tiles(contigs, ["cn"], "seq", most, tile).select("cn", "tile", "start", F.col("text").alias("__t"))
     w = windows.withColumn("tile", F.floor(F.col("g_off") / tile).cast("bigint"))
-    j = w.join(t, ["cn", "tile"])
+    j = w.join(t, ["cn", "tile"]).withColumn("w_len", F.when(F.col("w_len") <= most, F.col("w_len")).otherwise(F.raise_error(F.lit(f"a window has more than {most} bases"))))
     return j.withColumn("text", F.substring("__t", (F.col("g_off") - F.col("start") + 1).cast("int"), F.col("w_len"))).drop("tile", "start", "__t")

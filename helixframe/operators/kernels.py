@@ -130,9 +130,15 @@ def edit_string(ops: str, genome: str, read: str) -> str:
     return "".join(out) + (str(run) if run else "")
 
 
-def _by_shape(pairs: pd.DataFrame) -> Iterator[np.ndarray]:
-    for _, rows in pairs.groupby([pairs["text"].str.len(), pairs["seq"].str.len()]).indices.items():
-        yield from (rows[k : k + 1024] for k in range(0, len(rows), 1024))
+CELLS = 1 << 22
+
+
+def _by_shape(pairs: pd.DataFrame, layers: int = 1) -> Iterator[np.ndarray]:
+    """Rows whose texts and reads are equally long, as many at a time as keep a matrix within CELLS cells (one
+    alignment at least), so that long reads take no more memory than short ones."""
+    for (m, n), rows in pairs.groupby([pairs["text"].str.len(), pairs["seq"].str.len()]).indices.items():
+        step = max(1, min(1024, CELLS // (layers * (m + 1) * (n + 1))))
+        yield from (rows[k : k + step] for k in range(0, len(rows), step))
 
 
 @F.pandas_udf(T.IntegerType())
@@ -250,7 +256,7 @@ def colour_alignment(text: pd.Series, colours: pd.Series) -> pd.DataFrame:
     """Colour read (without its leading base) against a letter window; null or empty ones give nulls."""
     p = pd.DataFrame({"text": text.fillna(""), "seq": colours.fillna("")}).reset_index(drop=True)
     out: list = [(None, None, None, None)] * len(p)
-    for rows in _by_shape(p):
+    for rows in _by_shape(p, 4):
         a, c = list(p["text"].iloc[rows]), list(p["seq"].iloc[rows])
         if a[0] and c[0]:
             for row, got in zip(rows, colour_alignments(encode(a), decode_layers(c), COLOUR)):

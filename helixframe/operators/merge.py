@@ -53,23 +53,37 @@ def union_same_contigs(a: DataFrame, b: DataFrame, a_headers: DataFrame, b_heade
 
 
 def genome_chunks(contigs: list[tuple[str, int]], target: int) -> list[list[str]]:
-    """Contigs as chunks of about `target` bases: first-fit decreasing gives their number, then the longest go
-    each to the chunk with the least so far. For a genome's list of contigs, which a driver holds."""
-    free: list[int] = []
+    """Contigs as chunks of at most `target` bases: first-fit decreasing gives their number, and the least target for
+    which it needs no more evens them out. For a genome's list of contigs, which a driver holds.
+
+    A contig above the target is an error; one of length 0 goes with the first chunk; no contigs give no chunks.
+    """
     order = sorted(contigs, key=lambda c: (-c[1], c[0]))
-    for _, n in order:
-        at = next((i for i, f in enumerate(free) if f >= n), None)
-        if at is None:
-            free.append(max(target - n, 0))
-        else:
+    if order and order[0][1] > target:
+        raise ValueError(f"{order[0][0]} has more than {target} bases")
+
+    def packed(most: int) -> list[list[str]]:
+        free: list[int] = []
+        chunks: list[list[str]] = []
+        for name, n in order:
+            at = next((i for i, f in enumerate(free) if f >= n), len(free))
+            if at == len(free):
+                free.append(most)
+                chunks.append([])
             free[at] -= n
-    chunks: list[list[str]] = [[] for _ in free]
-    used = [0] * len(free)
-    for name, n in order:
-        i = used.index(min(used))
-        chunks[i].append(name)
-        used[i] += n
-    return chunks
+            chunks[at].append(name)
+        return chunks
+
+    best = packed(target)
+    lo, hi = order[0][1] if order else 0, target
+    while lo < hi:
+        mid = (lo + hi) // 2
+        even = packed(mid)
+        if len(even) <= len(best):
+            best, hi = even, mid
+        else:
+            lo = mid + 1
+    return best
 
 
 def pairedness(rows: DataFrame, name: str, flags: str) -> DataFrame:

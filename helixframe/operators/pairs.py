@@ -40,6 +40,21 @@ def pair_hits(first: DataFrame, second: DataFrame, mode: str = "opp-in", least:
     return j.select("pair_id", "hit0", "hit1", "cn", F.col("side").alias("st"), delta.alias("delta"), (F.col("score0") + F.col("score1")).alias("score"))
 
 
+def top_pairs(pairs: DataFrame, most: int, least_score: int = 0) -> DataFrame:
+    """The best `most` pairs of each read pair with a score of at least `least_score`: highest score first, then the
+    smallest hits; adds rank. Partial top lists are cut before the shuffle, so a pair id may have any number of pairs."""
+    w = W.partitionBy("pair_id").orderBy(F.desc("score"), "hit0", "hit1")
+    return pairs.where(F.col("score") >= least_score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def best_mates(pairs: DataFrame, qualities: DataFrame) -> DataFrame:
+    """For each first hit of a pair the mate hit of the highest quality among its pairs (the smallest hit on ties):
+    pair_id, hit0, hit1, mapq. qualities has hit and mapq; hits without a quality are no mates."""
+    q = qualities.where("mapq is not null").select(F.col("hit").alias("hit1"), "mapq")
+    best = F.max_by(F.struct("hit1", "mapq"), F.struct(F.col("mapq"), -F.col("hit1")))
+    return pairs.select("pair_id", "hit0", "hit1").join(q, "hit1").groupBy("pair_id", "hit0").agg(best.alias("b")).select("pair_id", "hit0", "b.hit1", "b.mapq")
+
+
 def size_histogram(df: DataFrame, size: str, least: int = 0, most: int = 1000, buckets: int = 100) -> DataFrame:
     """Pairs by insert size in equal buckets; sizes outside go to the first or last. With each one's share."""
     width = (most - least) / buckets

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import groupby
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from helixframe.operators.ranking import prefix_over_buckets
 
-TILE, BLOCK = 128, 1 << 18
+TILE, KEY_TILE, BLOCK = 128, 1 << 12, 1 << 18
+BASE = np.full(256, 4, np.uint8)
+for _k, _c in enumerate(b"ACGT"):
+    BASE[_c] = _k
 
 
 @dataclass(frozen=True)
@@ -27,15 +31,6 @@ class Seed:
     def weight(self) -> int:
         return self.pattern.count("1")
 
-    def key(self, window: Column) -> Column:
-        parts, at = [], 1
-        for one, run in groupby(self.pattern):
-            n = len(list(run))
-            if one == "1":
-                parts.append(F.substring(window, F.lit(at), F.lit(n)))
-            at += n
-        return F.concat(*parts)
-
 
 CONTIGUOUS, SPACED = Seed("1" * 12), Seed("11110111101111")
 
@@ -55,24 +50,58 @@ def tiles(df: DataFrame, ids: Sequence[str], seq: str, overlap: int, tile: int =
     return t.select(*ids, F.floor(start / tile).cast("bigint").alias("tile"), start.alias("start"), F.substring("__t", F.col("__i") + 1, F.lit(tile + overlap)).alias("text"))
 
 
+def _pieces(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, bytes and lengths of stretches of rows of about `most` bytes."""
+    texts = texts.cast(pa.string()) if not pa.types.is_string(texts.type) else texts
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    row = 0
+    while row < len(texts):
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
+        raw = np.frombuffer(texts.buffers()[2], np.uint8, int(offsets[end] - offsets[row]), int(offsets[row])) if offsets[end] > offsets[row] else np.zeros(0, np.uint8)
+        lens = np.diff(offsets[row : end + 1])
+        if len(raw) and raw.max() > 127:  # one byte a character
+            plain = [t.encode("ascii", "replace") for t in texts.slice(row, end - row).to_pylist()]
+            raw, lens = np.frombuffer(b"".join(plain), np.uint8), np.array([len(x) for x in plain])
+        yield row, raw, lens
+        row = end
+
+
 def kmers(df: DataFrame, ids: Sequence[str], seq: str, seeds: Sequence[Seed], spread: bool = False) -> DataFrame:
-    """ids, sn (seed number), key, pos (0-based): keys of all windows with only A, C, G and T. Sequences
-    shorter than a seed have none; null ones neither. `spread` shuffles the tiles first, for sequences
-    so few and long that a task would hold too much."""
-    t = tiles(df, ids, seq, max(s.span for s in seeds) - 1)
+    """ids, sn (seed number), key, pos (0-based): keys of all windows with only A, C, G and T, two bits a base.
+    Sequences shorter than a seed have none; null ones neither. `spread` shuffles the tiles first, for sequences
+    so few and long that a task would hold too much. The keys of all seeds come from one pass over a tile."""
+    if any(s.weight > 31 for s in seeds):
+        raise ValueError("a seed has at most 31 bases; heavier ones are to be joined on a hash of their text")
+    t = tiles(df, ids, seq, max(s.span for s in seeds) - 1, KEY_TILE)
     if spread:
         # a fixed number, as a coalesced shuffle of short tiles would make few tasks of much work
         t = t.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*ids, "tile"))
-    at = F.explode(F.sequence(F.lit(1), F.least(F.length("text"), F.lit(TILE)))).alias("__i")
-    w = t.select(*ids, "start", "text", at)
-    out = None
-    for n, s in enumerate(seeds):
-        # one select a seed, not an array of them: it stays within generated code
-        window = w.select(*ids, F.lit(n).alias("sn"), F.substring("text", F.col("__i"), F.lit(s.span)).alias("__w"), (F.col("start") + F.col("__i") - 1).alias("pos"))
-        window = window.where((F.length("__w") == s.span) & ~F.col("__w").rlike("[^ACGT]"))
-        one = window.select(*ids, "sn", s.key(F.col("__w")).alias("key"), "pos")
-        out = one if out is None else out.unionByName(one)
-    return out
+    given = [df.schema[c] for c in ids]
+    out = T.StructType([*given, *T.StructType.fromDDL("sn int, key bigint, pos bigint").fields])
+    spans = [(n, s.span, [k for k, c in enumerate(s.pattern) if c == "1"]) for n, s in enumerate(seeds)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            starts = np.asarray(b.column("start"))
+            for first, raw, lens in _pieces(b.column("text")):
+                code = BASE[raw]
+                odd = np.concatenate([[0], np.cumsum(code > 3)])
+                row = np.repeat(np.arange(len(lens)), lens)
+                at = np.arange(len(raw)) - np.repeat(np.cumsum(lens) - lens, lens)
+                for n, span, ones in spans:
+                    m = len(raw) - span + 1
+                    if m < 1:
+                        continue
+                    # within one tile, begun in its own part and not in the next one's, and without other letters
+                    good = np.flatnonzero((row[:m] == row[span - 1 :]) & (odd[span:] == odd[:m]) & (at[:m] < KEY_TILE))
+                    key = np.zeros(len(good), np.int64)
+                    for k in ones:
+                        key = key << 2 | code[good + k]
+                    r = first + row[good]
+                    where = pa.array(r)
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(where) for c in ids), pa.array(np.full(len(r), n, np.int32)), pa.array(key), pa.array(starts[r] + at[good])], names=out.names)
+
+    return t.select(*ids, "start", "text").mapInArrow(run, out)
 
 
 def occurrences(df: DataFrame, ids: Sequence[str], seq: str, token: str) -> DataFrame:
@@ -82,11 +111,6 @@ def occurrences(df: DataFrame, ids: Sequence[str], seq: str, token: str) -> Data
     return t.select(*ids, "start", F.explode(at).alias("i")).select(*ids, (F.col("start") + F.col("i")).alias("pos"))
 
 
-def hashed(index: DataFrame, bits: int = 24) -> DataFrame:
-    """Keys of heavy seeds as short hashes: collisions only add candidates, which scoring drops."""
-    return index.withColumn("key", F.xxhash64("key").bitwiseAND((1 << bits) - 1).cast("string"))
-
-
 def key_counts(index: DataFrame) -> DataFrame:
     """How long the posting list of each key is."""
     return index.groupBy("sn", "key").agg(F.count(F.lit(1)).alias("n"))
@@ -130,3 +154,14 @@ def contig_offsets(contigs: DataFrame, order: str = "cn", length: str = "len") -
     before = prefix_over_buckets(c.groupBy("__g", "__b").agg(F.sum(length).cast("bigint").alias("t")), ["__g"], "__b", ["t"])
     inner = F.coalesce(F.sum(length).over(W.partitionBy("__b").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return c.withColumn("__i", inner).join(before, ["__g", "__b"]).withColumn("g_offset", (F.col("before_t") + F.col("__i")).cast("bigint")).drop("__g", "__b", "__i", "before_t")
+
+
+def save_index(index: DataFrame, path: str) -> None:
+    """Writes an index by seed, range-parted and sorted by key, so that a load of some seeds or keys reads just these."""
+    index.repartitionByRange("sn", "key").sortWithinPartitions("sn", "key").write.mode("overwrite").partitionBy("sn").parquet(path)
+
+
+def load_index(spark: SparkSession, path: str, seeds: Sequence[int] | None = None) -> DataFrame:
+    """A saved index, of all seeds or of some by number."""
+    i = spark.read.parquet(path)
+    return i if seeds is None else i.where(F.col("sn").isin(list(seeds)))

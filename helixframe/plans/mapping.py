@@ -15,7 +15,8 @@ from helixframe.session import cut
 
 @dataclass(frozen=True)
 class Options:
-    """Stage options; a threshold is a percentage, or an absolute score if given as an int below 0."""
+    """Stage options; thresholds are percentages of the best possible score. Letter windows are thinned at the full
+    threshold unless `vector_threshold_pct` says otherwise (47 is usual for colours)."""
 
     seeds: Sequence[X.Seed] = (X.CONTIGUOUS, X.SPACED)
     cutoff: int = 1000
@@ -23,16 +24,18 @@ class Options:
     window_pct: int = 140
     overlap_pct: int = 90
     window_threshold_pct: int = 55
-    vector_threshold_pct: int = 47
+    vector_threshold_pct: int | None = None
     full_threshold_pct: int = 50
     report: int = 10
     extra_candidates: int = 20
     strata: bool = False
     max_alignments: int = 0
     regions: bool = True
+    longest_read: int = 1000
+    min_matches: int = 0
 
     def __post_init__(self) -> None:
-        if any(p > 100 for p in (self.window_threshold_pct, self.vector_threshold_pct, self.full_threshold_pct)):
+        if any(p is not None and p > 100 for p in (self.window_threshold_pct, self.vector_threshold_pct, self.full_threshold_pct)):
             raise ValueError("thresholds are at most 100 %")
         if self.window_pct < 100 or self.report < 1:
             raise ValueError("window_pct >= 100 and report >= 1 are needed")
@@ -63,6 +66,8 @@ def map_reads(reads: DataFrame, contigs: DataFrame, o: Options = Options(), inde
     islands and windows; windows are scored in Arrow batches, thinned by overlap and cut to the best per
     read before the full alignment. A prepared index (X.kmers, written by sn and key) saves building it.
     """
+    # longer reads are left out, as the option says; nothing later cuts a read or its window short
+    reads = reads.where(F.length("seq") <= o.longest_read)
     # counting its keys and joining them both read the index: it is written once
     idx = X.without_heavy(index if index is not None else cut(X.kmers(contigs, ["cn"], "seq", o.seeds, spread=True)), o.cutoff)
     stranded = A.both_strands(reads, strands=o.strands)
@@ -76,9 +81,11 @@ def map_reads(reads: DataFrame, contigs: DataFrame, o: Options = Options(), inde
     islands = A.diagonal_islands(anchors, "read_len", max(s.span for s in o.seeds))
     islands = islands.join(lens, "read_id").join(contigs.select("cn", F.col("len").alias("contig_len")), "cn")
     win = A.candidate_windows(islands, "read_len", "contig_len", scores["match"], scores["open"], scores["ext_ins"], o.window_pct, o.window_threshold_pct)
-    win = A.window_text(win, contigs.select("cn", "seq")).join(stranded, ["read_id", "st"])
+    if o.min_matches:
+        win = win.where(F.col("matches") >= o.min_matches)
+    win = A.window_text(win, contigs.select("cn", "seq"), max(1536, o.longest_read * o.window_pct // 100)).join(stranded, ["read_id", "st"])
     full = F.length("seq") * scores["match"]
-    win = K.score_windows(win).withColumn("passes", F.col("score_vec") * 100 >= full * o.vector_threshold_pct)
+    win = K.score_windows(win).withColumn("passes", F.col("score_vec") * 100 >= full * (o.full_threshold_pct if o.vector_threshold_pct is None else o.vector_threshold_pct))
     kept = C.suppress_overlaps(win.drop("length", "weight", "matches", "score"), o.overlap_pct)
     best = C.top_k(kept, ["read_id"], [F.desc("score_vec"), *ORDER], o.report + o.extra_candidates, "__r")
     best = best.repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "read_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from helixframe.functions import alignments as A, probability as P
 from helixframe.operators import hit_stats as H, merge as G, pairs as R, select as C
+from helixframe.queries.scalars import SQL as SCALARS
 from helixframe.sources import sam as S
 from helixframe.streaming import events as E
 from helixframe.session import table
@@ -297,6 +298,7 @@ def _chance(score: str, n: str) -> str:
     return f"(case when {score} > {n} * {M.match} then 1e-200::double else exp(case when {e} > {n} or {e} < 0 then 0 else lgamma({n} + 1) - lgamma({e} + 1) - lgamma({n} - {e} + 1) end + {e} * ln(3.0) - {n} * ln(4.0)) end)"
 
 
+EDIT_TO_CIGAR = SCALARS["edit_to_cigar"]
 _SAMF = """f as (select hit_id, read qname, case when strand = '-' then 16 else 0 end flag, genome rname, least(genome_start, genome_end) pos, score, mismatches + insertions + deletions nm, edit, read_start, read_end, read_length from native_hits
  where read is not null and edit is not null and read_length is not null and read_start is not null and read_end is not null)"""
 _HEAD = """hd as (select 0 f, * from genome_contigs where cn < 40 union all select 1, * from genome_contigs where cn >= 20),
@@ -342,6 +344,13 @@ SQL = {
     "adjacent_mates": """with s as (select read_name, aln_id, case when flags & 64 <> 0 then 0 else 1 end side, row_number() over (partition by read_name, case when flags & 64 <> 0 then 0 else 1 end order by aln_id) k from pretty where read_name is not null and flags is not null and flags & 192 <> 0)
  select read_name, a.aln_id row0, b.aln_id row1 from (select * from s where side = 0) a full join (select * from s where side = 1) b using (read_name, k)""",
     "suffix_pairs": "with r as (select distinct read, left(read, length(read) - 3) root from native_hits where read is not null) select root, a.read as first, b.read as second from (select * from r where read like '%\\_F3' escape '\\') a full join (select * from r where read like '%\\_R3' escape '\\') b using (root)",
+    "sam_render": f"""with {_SAMF}, c as ({EDIT_TO_CIGAR}) select hit_id, array_to_string([qname, cast(flag as varchar), coalesce(rname, '*'), cast(coalesce(pos, 0) as varchar), '255', coalesce(cigar, '*'), '*', '0', '0', '*', '*'], chr(9)) || coalesce(chr(9) || 'AS:i:' || score, '') || coalesce(chr(9) || 'NM:i:' || nm, '') line from f join c using (hit_id)""",
+    "dominant_legs": f"""{_SZ}, """ + ", ".join(
+        f"""u{k} as (select distinct p.pair_id, p.hit{leg} h, l.cn, l.st, l.{at}, l.score from {'pr' if k == 0 else f'd{k - 1}'} p join leg l on l.pair_id = p.pair_id and l.hit = p.hit{leg}),
+ b{k} as (select pair_id, h, first_value(h) over (partition by pair_id, cn, st, {at} order by score desc, h) b from u{k}), d{k} as (select p.pair_id, {'b.b hit0, p.hit1' if leg == 0 else 'p.hit0, b.b hit1'} from {'pr' if k == 0 else f'd{k - 1}'} p join b{k} b on b.pair_id = p.pair_id and b.h = p.hit{leg})"""
+        for k, (at, leg) in enumerate((("s", 0), ("s", 1), ("e", 0), ("e", 1)))
+    )
+    + " select distinct pair_id, hit0, hit1 from d3",
     "sam_parse": f"with {_SAMF} select hit_id, qname, flag, rname, case when pos <> 0 then pos end pos, null::bigint mapq, null::varchar rnext, score, nm from f",
     "sam_header_merge": f"with {_HEAD} select * from m",
     "sam_genome_length": "select count(*) contigs, cast(sum(len) as bigint) genome_length from genome_contigs",

@@ -127,7 +127,7 @@ def pair_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def insert_probability(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pretty").where("isize is not null and abs(isize) < 2000").select(F.abs("isize").alias("size")).distinct()
+    p = table(spark, d, "pretty").where("isize is not null").select(F.abs(F.col("isize").cast("bigint")).alias("size")).distinct()
     return p.select("size", F.round(P.insert_probability(F.col("size").cast("double")), 9).alias("p"))
 
 
@@ -207,7 +207,7 @@ SQL = {
  cast(s + coalesce(list_sum(used[1:i - 1]), 0) - case when t[i] like '(%' then 1 else 0 end as bigint) pos from e where t[i] like '-%' or t[i] like '(%' or regexp_full_match(t[i], '[ACGTNacgtn]')""",
     "flag_decode": "select aln_id, " + ", ".join(f'flags & {b} <> 0 as "{n}"' for n, b in A.FLAGS.items()) + ", flags & 2047 flags from pretty where flags is not null",
     "pair_names": "select read_id, regexp_replace(list_max(list_filter(list_transform(range(0, length(a || '/1') + 1), lambda i: substr(a || '/1', 1, i)), lambda p: starts_with(b || '/2', p))), '[:/]$', '') pair_name from (select read_id, min(read_name) a, max(read_name) b from pretty where read_id is not null group by 1) where a is not null",
-    "insert_probability": f"select distinct abs(isize) size, round(greatest({_cdf('(abs(isize) + 10.0::double)')} - {_cdf('(abs(isize) - 10.0::double)')}, 1e-200), 9) p from pretty where isize is not null and abs(isize) < 2000",
+    "insert_probability": f"select distinct abs(isize::bigint) size, round(greatest({_cdf('(abs(isize::bigint) + 10.0::double)')} - {_cdf('(abs(isize::bigint) - 10.0::double)')}, 1e-200), 9) p from pretty where isize is not null",
     "quality_codecs": f"select distinct mapq, round({_ERR}, 12) p_error, cast(trunc(1000.0 * -ln(({_ERR}) * 0.999::double)) as integer) neglog, round(exp(-mapq * 100 / 1000.0::double), 9) p from pretty where mapq is not null",
     "chance_of_score": f"""select distinct read_length, score, round(log10(case when score > read_length * {_M.match} then 1e-200::double else exp(case when {_ERRORS} > read_length then 0 else lgamma(read_length + 1) - lgamma({_ERRORS} + 1) - lgamma(read_length - {_ERRORS} + 1) end + {_ERRORS} * ln(3.0) - read_length * ln(4.0)) end), 6) log10_p,
  case when read_length < 40 then 1e-10::double when read_length < 60 then 1e-14::double else 1e-16::double end missed from native_hits where score is not null and read_length is not null""",

@@ -31,7 +31,8 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
     )
     strand = F.when(F.col("n") % 2 == 1, reverse_complement(made)).otherwise(made)
     mate = reverse_complement(F.substring("seq", F.col("pos") + 1 + MATE_AT, F.lit(READ_LEN)))
-    return p.select((F.col("cn") * 100000 + F.col("n")).alias("read_id"), "cn", "pos", (F.col("n") % 2).alias("st"), strand.alias("seq"), mate.alias("mate"))
+    mate_fw = F.when(F.col("pos") >= MATE_AT, F.substring("seq", F.greatest(F.col("pos") + 1 - MATE_AT, F.lit(1)), F.lit(READ_LEN)))
+    return p.select((F.col("cn") * 100000 + F.col("n")).alias("read_id"), "cn", "pos", (F.col("n") % 2).alias("st"), strand.alias("seq"), mate.alias("mate"), mate_fw.alias("mate_fw"))
 
 
 _IUPAC, _COMP = "ACGTUMRWSYKVHDBNX", "TGCAAKYWSRMBDHVNN"

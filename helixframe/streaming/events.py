@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from helixframe.session import shared_folder
+
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
     """A parquet table as a stream, with the schema of the table."""
@@ -25,7 +29,9 @@ def sessions(events: DataFrame, at: str, key: str, gap: str = "30 minutes", late
 
 
 def drain(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there into a memory table (for results as small as window counts)."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+    """Runs a stream over what is there; each batch replaces the table of the result in the shared folder, so that no
+    row passes through the driver."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    q = df.writeStream.outputMode(mode).queryName(name).trigger(availableNow=True).option("checkpointLocation", f"{path}-state")
+    q.foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{path}-rows")).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}-rows")

@@ -3,8 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import merge, pairs, seeds, select
-from helixframe.plans import mapping
+from helixframe.operators import merge, pairs, reads, seeds, select
+from helixframe.plans import mapping, paired
 from helixframe.sources import fastx, sam
 from helixframe.streaming import events
 
@@ -84,14 +84,17 @@ def test_merge_of_files_equals_one_file(spark):
 
 def test_index_of_short_and_long_sequences(spark):
     rng = random.Random(1)
-    s = "".join(rng.choice("ACGTN") if k % 50 == 0 else rng.choice("ACGT") for k in range(2500))
+    s = "".join(rng.choice("ACGTN") if k % 50 == 0 else rng.choice("ACGT") for k in range(9500))
     df = spark.createDataFrame([(1, s), (2, "ACG"), (3, ""), (4, None)], "cn long, seq string")
-    got = {(r["sn"], r["pos"], r["key"]) for r in seeds.kmers(df, ["cn"], "seq", (seeds.CONTIGUOUS, seeds.SPACED)).collect()}
+    letters = lambda key, n: "".join("ACGT"[key >> 2 * k & 3] for k in reversed(range(n)))
+    s = s[:700] + "é" + s[701:4090] + s[4090:]
+    df = df.withColumn("seq", F.when(F.col("cn") == 1, F.lit(s)).otherwise(F.col("seq")))
+    got = {(r["sn"], r["pos"], letters(r["key"], (seeds.CONTIGUOUS, seeds.SPACED)[r["sn"]].weight)) for r in seeds.kmers(df, ["cn"], "seq", (seeds.CONTIGUOUS, seeds.SPACED)).collect()}
     want = set()
     for n, p in enumerate((seeds.CONTIGUOUS, seeds.SPACED)):
         for i in range(len(s) - p.span + 1):
             w = s[i : i + p.span]
-            if "N" not in w:
+            if "N" not in w and "é" not in w:
                 want.add((n, i, "".join(c for c, b in zip(w, p.pattern) if b == "1")))
     assert got == want
     assert seeds.auto_cutoff(3 * 10**9, 12) == 17881
@@ -129,9 +132,57 @@ def test_stream_drains(spark, tmp_path):
 
 
 def test_genome_chunks():
-    chunks = merge.genome_chunks([("a", 60), ("b", 50), ("c", 40), ("d", 30), ("e", 500)], 100)
-    assert sorted(n for c in chunks for n in c) == list("abcde") and len(chunks) == 3 and ["e"] in chunks
+    chunks = merge.genome_chunks([("a", 60), ("b", 50), ("c", 40), ("d", 30)], 100)
+    assert sorted(n for c in chunks for n in c) == list("abcd") and len(chunks) == 2
+    sizes = dict(zip("vwxyz", (6, 6, 4, 4, 4)))
+    assert sorted(sum(sizes[n] for n in c) for c in merge.genome_chunks(list(sizes.items()), 12)) == [12, 12]
     assert merge.genome_chunks([], 10) == []
+    with pytest.raises(ValueError):
+        merge.genome_chunks([("e", 500)], 100)
+    rng = random.Random(7)
+    many = [(f"c{k}", rng.randrange(0, 60)) for k in range(300)]
+    got = merge.genome_chunks(many, 100)
+    assert sorted(n for c in got for n in c) == sorted(n for n, _ in many) and max(sum(dict(many)[n] for n in c) for c in got) <= 100
+
+
+@pytest.mark.parametrize("mode", pairs.MODES)
+def test_pairs_are_mapped_in_every_mode(spark, mode):
+    rng = random.Random(3)
+    c = "".join(rng.choice("ACGT") for _ in range(6000))
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    fw, bw = (lambda x: c[x : x + 36]), (lambda x: rc(c[x : x + 36]))
+    first, second = {"opp-in": (fw, bw), "opp-out": (bw, fw), "col-fw": (fw, fw), "col-bw": (bw, bw)}[mode]
+    rows, want = [], {}
+    for n in range(12):
+        x = 400 * n + 100
+        y = x + rng.randrange(80, 300)
+        rows.append((n, first(x), second(y)))
+        want[n] = (x + 1, y + 1, {"opp-in": y + 36 - x, "opp-out": y - x - 36}.get(mode, y - x))
+    rows += [(50, fw(100), fw(4500)), (51, fw(100), None), (52, fw(100) * 30, bw(200))]
+    df = spark.createDataFrame(rows, "pair_id long, seq0 string, seq1 string")
+    contigs = spark.createDataFrame([(0, c, len(c))], "cn long, seq string, len int")
+    got = paired.map_pairs(df, contigs, paired.PairOptions(mode=mode)).where("rank = 1").collect()
+    assert {r["pair_id"]: (r["start0"], r["start1"], abs(r["size"])) for r in got} == want
+    assert {r["st"] for r in got} == {int(first is bw)}
+
+
+def test_rows_of_reads_and_skips(spark):
+    reads_ = spark.createDataFrame([("a/1 x",), ("b:2",), (None,)], "name string")
+    rows = spark.createDataFrame([("a", 1), ("a/2", 2), ("c", 3), (None, 4)], "qname string, row int")
+    got = {(r["name"], r["row"]) for r in reads.rows_of_reads(reads_, rows, "name", "qname").collect()}
+    assert got == {("a/1 x", 1), ("a/1 x", 2), ("b:2", None), (None, None)}
+    s = spark.createDataFrame([(1, 10, "5M100N3M1I2M7N4M"), (2, 10, "9M"), (3, 10, None)], "id int, s long, c string")
+    assert sorted((r["id"], r["part"], r["part_start"], r["part_cigar"]) for r in reads.split_at_skips(s, "s", "c").collect()) == [(1, 0, 10, "5M"), (1, 1, 115, "3M1I2M"), (1, 2, 127, "4M"), (2, 0, 10, "9M")]
+    q = spark.createDataFrame([(1, 30, 20.0), (1, 30, 5.0), (2, 2000, 20.0), (3, 30, None), (None, 30, 30.0)], "p int, n int, q double")
+    assert {r["p"] for r in reads.usable(q, F.col("n"), F.col("q"), pair="p").collect()} == {3, None} and reads.usable(q, F.col("n"), F.col("q")).count() == 3
+
+
+def test_saved_index(spark, tmp_path):
+    i = seeds.kmers(spark.createDataFrame([(1, "ACGTACGTACGTACGTA")], "cn long, seq string"), ["cn"], "seq", (seeds.CONTIGUOUS, seeds.SPACED))
+    seeds.save_index(i, str(tmp_path / "i"))
+    order = ["sn", "pos"]
+    assert [tuple(r) for r in seeds.load_index(spark, str(tmp_path / "i")).select(i.columns).orderBy(order).collect()] == [tuple(r) for r in i.orderBy(order).collect()]
+    assert seeds.load_index(spark, str(tmp_path / "i"), [1]).count() == i.where("sn = 1").count()
 
 
 def test_mate_support(spark):
