@@ -57,8 +57,8 @@ def p2_all_days(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_by_week(spark: SparkSession, d: str) -> DataFrame:
-    """Sets of days: each ISO week, from the day sketches."""
-    s = _sizes(spark, d).withColumn("week", F.weekofyear("day"))
+    """Sets of days: each week, named by its Monday, from the day sketches."""
+    s = _sizes(spark, d).withColumn("week", F.to_date(F.date_trunc("week", "day")))
     return _rounded(percentiles.percentiles(percentiles.combine(s, ["read_group", "week"]), ["read_group", "week"], PERMILLE))
 
 
@@ -116,7 +116,7 @@ _G = (1 + percentiles.ALPHA) / (1 - percentiles.ALPHA)
 def _percentile_sql(keys: str) -> str:
     rank = "greatest(1, floor((tot * {p} + 999) / 1000))"
     cols = ", ".join(f"round(min_by({2.0 / (_G + 1)!r} * pow({_G!r}, b), c) filter (c >= {rank.format(p=p)}), 3) p{p // 10}" for p in PERMILLE)
-    return f"""with v as (select read_group, cast(run_at as date) as day, weekofyear(run_at) as week, abs(cast(isize as bigint)) x from pretty where isize <> 0),
+    return f"""with v as (select read_group, cast(run_at as date) as day, cast(date_trunc('week', run_at) as date) as week, abs(cast(isize as bigint)) x from pretty where isize <> 0),
  s as (select {keys}, cast(ceil(ln(x) / {math.log(_G)!r}) as integer) b, count(*) n from v group by all),
  w as (select *, sum(n) over (partition by {keys} order by b) c, sum(n) over (partition by {keys}) tot from s)
  select {keys}, cast(sum(n) as bigint) n, {cols}, cast({percentiles.ALPHA} as double) relative_error from w group by {keys}"""
