@@ -191,10 +191,10 @@ def pchance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _concordant(spark: SparkSession, d: str) -> DataFrame:
-    h = _hits(spark, d).where("genome is not null and strand is not null and genome_start is not null and genome_end is not null")
-    top = C.top_k(h, ["read"], [F.desc("score"), F.asc("hit_id")], BEST)
-    t = top.select(F.expr("left(read, length(read) - 3)").alias("root"), F.right("read", F.lit(3)).alias("side"), "genome", F.col("hit_id").alias("hit"), "strand", F.least("genome_start", "genome_end").alias("start"), F.greatest("genome_start", "genome_end").alias("end"))
-    return R.concordant(t.where("side = '_F3'"), t.where("side = '_R3'"), "root", 1_000_000_000)
+    """Mates as runs that read both of a pair from the same strand give them: the second turned round."""
+    g = _legs(spark, d).withColumn("strand", F.when((F.col("st") == 1) != (F.col("nip") == 1), "-").otherwise("+"))
+    t = g.select(F.col("pair_id").alias("root"), F.col("cn").alias("genome"), "hit", "strand", "start", "end", "nip")
+    return R.concordant(t.where("nip = 0"), t.where("nip = 1"), "root", 1_000_000_000)
 
 
 def concordant_mates(spark: SparkSession, d: str) -> DataFrame:
@@ -288,8 +288,8 @@ _MAPQ = f"""with h as (select hit_id, read, score, read_length n from native_hit
  t as (select * from z qualify row_number() over (partition by read order by score desc, hit_id) <= {BEST}), q as (select hit_id, 1 - z0 / z1 p from t join s using (read)),
  r as (select hit_id, {_Q.format(p='p')} mapq from q) select hit_id, case when mapq < 4 then 0 else mapq end mapq from r"""
 _SZ = f"with {_PAIR}"
-_TOPH = f"t as (select *, left(read, length(read) - 3) root, right(read, 3) side, least(genome_start, genome_end) s, greatest(genome_start, genome_end) e from h where genome is not null and strand is not null and genome_start is not null and genome_end is not null qualify row_number() over (partition by read order by score desc, hit_id) <= {BEST})"
-_CONC = f"""with {_H}, {_TOPH}, j as (select a.root, a.hit_id fwd, b.hit_id rev, case when a.s < b.s then a.s else a.e end cf, case when a.s < b.s then b.e else b.s end cr, a.strand from t a join t b on a.root = b.root and a.genome = b.genome and a.strand = b.strand and a.side = '_F3' and b.side = '_R3'),
+_CONC = f"""with {_LEG}, t as (select *, case when (st = 1) <> (nip = 1) then '-' else '+' end strand from leg),
+ j as (select a.pair_id root, a.hit fwd, b.hit rev, case when a.s < b.s then a.s else a.e end cf, case when a.s < b.s then b.e else b.s end cr, a.strand from t a join t b on a.pair_id = b.pair_id and a.cn = b.cn and a.strand = b.strand and a.nip = 0 and b.nip = 1),
  k as (select root, fwd, rev, abs(cf - cr) dist from j where abs(cf - cr) < 1000000000 and abs(cf - cr) > 0 and ((strand = '+' and cr < cf) or (strand = '-' and cf < cr)))"""
 
 
