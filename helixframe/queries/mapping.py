@@ -9,7 +9,7 @@ from helixframe.functions.probability import LETTER
 from helixframe.operators import anchors as A, kernels as K, seeds as X, select as C
 from helixframe.plans import mapping as M
 from helixframe.queries.views import CONTIGS, READS, contigs, reads
-from helixframe.session import table
+from helixframe.session import cut, table
 
 SEEDS = (X.CONTIGUOUS, X.SPACED)
 CUTOFF = 2
@@ -49,8 +49,13 @@ def contig_lookup(spark: SparkSession, d: str) -> DataFrame:
     return M.contig_at(at, "hit_id", "at", g.select("cn", F.col("name"), F.col("g_offset")))
 
 
+def _light_index(spark: SparkSession, d: str, seeds: tuple[X.Seed, ...] = SEEDS) -> DataFrame:
+    """The index without heavy keys, cut as in production. Its keys are counted and joined: it is written once."""
+    return X.without_heavy(cut(X.kmers(contigs(spark, d), ["cn"], "seq", seeds, spread=True)), M.Options.cutoff)
+
+
 def _anchors(spark: SparkSession, d: str) -> DataFrame:
-    return A.seed_anchors(A.both_strands(reads(spark, d)), _index(spark, d), SEEDS)
+    return A.seed_anchors(A.both_strands(reads(spark, d)), _light_index(spark, d), SEEDS)
 
 
 def seed_join_anchors(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +69,7 @@ def region_support(spark: SparkSession, d: str) -> DataFrame:
 def _first_seed_islands(spark: SparkSession, d: str) -> DataFrame:
     seed = (X.CONTIGUOUS,)
     r = reads(spark, d).withColumn("read_len", F.length("seq"))
-    a = A.seed_anchors(A.both_strands(r), X.kmers(contigs(spark, d), ["cn"], "seq", seed, spread=True), seed)
+    a = A.seed_anchors(A.both_strands(r), _light_index(spark, d, seed), seed)
     return A.diagonal_islands(a.join(r.select("read_id", "read_len"), "read_id"), "read_len", X.CONTIGUOUS.span)
 
 
@@ -143,7 +148,8 @@ def _index_sql(src: str, ids: str, name: str, pos: str) -> str:
 _IDX = f"{CONTIGS}, {_index_sql('contigs', 'cn', 'idx', 'pos')}"
 _STR = "stranded as (select read_id, 0 st, seq from reads union all select read_id, 1, reverse(translate(seq, 'ACGTUMRWSYKVHDBNX', 'TGCAAKYWSRMBDHVNN')) from reads)"
 _ANC = f"""{READS}, {_STR}, {_index_sql('contigs', 'cn', 'idx', 'pos')}, {_index_sql('stranded', 'read_id, st', 'rk', 'y')},
- anchors as (select read_id, st, cn, pos x, y, sn from rk join idx using (sn, key))"""
+ heavy as (select sn, key from idx group by all having count(*) > {M.Options.cutoff}), light as (select * from idx anti join heavy using (sn, key)),
+ anchors as (select read_id, st, cn, pos x, y, sn from rk join light using (sn, key))"""
 _ISL = f"""{_ANC}, rl as (select read_id, length(seq) n from reads), sl as (select a.*, n, ((x + n - y) % n + n) % n slot, x - y diag from anchors a join rl using (read_id) where sn = 0),
  fr as (select *, case when lag(cn) over w = cn and lag(diag) over w = diag then 0 else 1 end fresh from sl window w as (partition by read_id, st, slot order by cn, x, y)),
  isl as (select *, sum(fresh) over (partition by read_id, st, slot order by cn, x, y rows unbounded preceding) island from fr),
