@@ -305,6 +305,7 @@ def build_vocabulary(words: DataFrame, dictionary: DataFrame, named: DataFrame,
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["h", "x", "y"])
 
     found = sorted(tuple(r) for r in real.select("h", "word").mapInArrow(fixes, "h bigint, x bigint, y bigint").collect())
+    held.destroy()
     voc.fixed = np.array(found, np.int64).reshape(-1, 3).T.copy()
     return voc, n_docs
 
@@ -380,6 +381,7 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], evaluation: Dat
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), packed(*shared.value.encode(*flat(b.column("words"), np.int64)))], names=["doc_id", "ids"])
 
     coded = cut(words.mapInArrow(encode, "doc_id bigint, ids binary"))
+    shared.destroy()
     k = PER_SUBJECT * n_s + BACKGROUND
     alpha = np.full(k, ALPHA, np.float32)
     alpha[PER_SUBJECT * n_s :] = ALPHA_BACKGROUND
@@ -440,19 +442,25 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], evaluation: Dat
             return None if m is None else m.astype(np.float32)
 
         got = summed(coded.select("ids"), run, v * k).reshape(v, k)
-        held.unpersist()
-        return got * topics
+        # unpersist would leave the driver its copy of each pass
+        held.destroy()
+        got *= topics
+        return got
 
-    mass, passes, change = topics, 0, np.inf
+    # in place where it can be: the driver holds few terms x topics matrices at a time
+    mass, passes, change = None, 0, np.inf
     while passes < LEAST_PASSES or (change >= TOLERANCE and passes < MOST_PASSES):
-        mass = passed(topics) + BETA
+        mass = None
+        mass = passed(topics)
+        mass += BETA
         # what labels show to tell a subject is kept out of the background, else whole languages end there; what
         # they show to tell none is kept out of the subjects
         size = mass.sum(0)
         mass[np.ix_(telling, background)] *= 1e-3
         mass[np.ix_(alike, ~background)] *= 1e-3
         new = mass / size
-        change = float(np.abs(new - topics).sum(0).mean())
+        topics -= new
+        change = float(np.abs(topics, out=topics).sum(0).mean())
         topics, passes = new, passes + 1
     mapped = map_topics(topics, mass, voc.names, share, telling, subjects)
     return Model(voc, subjects, topics.astype(np.float32), alpha, mapped, passes, change), coded

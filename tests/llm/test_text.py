@@ -1,8 +1,10 @@
+import os
 import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from helixframe.llm import leaks, mixing, subjects
@@ -242,6 +244,18 @@ def test_passes_over_the_documents(spark, monkeypatch):
     assert len(calls) == model.passes + 2 and model.passes >= subjects.LEAST_PASSES and model.change < subjects.TOLERANCE
 
 
+def test_passes_leave_nothing_on_the_driver(spark, monkeypatch):
+    """What a pass broadcasts is gone from the driver too when it ends, and subjects are still told after that."""
+    made = []
+    broadcast = SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: made.append(broadcast(self, value)) or made[-1])
+    docs = spark.createDataFrame([(n, "violin cadence soprano.") for n in range(30)] + [(n, "statute probate plaintiff.") for n in range(30, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, "music" if n < 30 else "law") for n in range(0, 60, 3)], "doc_id long, subject string")
+    model, coded = subjects.fit(docs, labels, ["law", "music"])
+    assert len(made) == model.passes + 2 and not any(os.path.exists(b._path) or b._jbroadcast.isValid() for b in made)
+    assert {(x["doc_id"], x["subject"]) for x in subjects.assign(model, coded).collect()} == {(n, "music" if n < 30 else "law") for n in range(60)}
+
+
 def test_inference_against_one_document_at_a_time():
     rng = np.random.default_rng(3)
     topics = rng.dirichlet(np.ones(50), 4).T.astype(np.float32)
