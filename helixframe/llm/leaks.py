@@ -24,7 +24,8 @@ ANSWER_WORDS, ANSWER_SHARE = 16, 0.75
 SHARED_RUN, SHARED_ITEMS = 8, 3
 RANK, OVERSAMPLE, POWER_PASSES = 256, 16, 1
 COSINE = 0.25
-BLOCK = 256
+SURE_WORDS, SURE_MISSED = 13, 2
+BLOCK, PRODUCTS = 256, 1 << 21
 MOST_EVAL_WORDS = 2_000_000
 
 _INLINE = re.compile(r"</?(?:a|b|i|u|s|em|strong|span|font|code|sub|sup|mark|small|tt)\b[^<>]*>", re.I)
@@ -179,6 +180,44 @@ class Weigher:
         return s * self.idf[:-1, None]
 
 
+def least_products(grid: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """For each passage of an item the least product of its TF-IDF vector (of any length) with that of some passage of a
+    document, if the document holds a case there; infinite where it can't.
+
+    Any case has SURE_WORDS successive item words, SURE_MISSED of which at most match nothing, whose matches lie within 15
+    words of the document: its first 13 if it has two edits or fewer; with three it has 24 words, and either its first or
+    its next 12 miss one at most. These lie in one passage, as any 15 words do, and could_hold passes one that has
+    them. Each match adds its squared weight to the product at least; the heaviest words are taken to be the missed ones.
+    """
+    n_terms = len(idf)
+    w = np.append(idf.astype(np.float64), 0) ** 2
+    least = np.full(len(grid), np.inf)
+    for k in range(PASSAGE - SURE_WORDS + 1):
+        part = grid[:, k : k + SURE_WORDS]
+        masked = (part == n_terms).sum(1)
+        heavy = np.sort(w[part], axis=1)[:, ::-1]
+        free = np.arange(SURE_MISSED) < SURE_MISSED - masked[:, None]
+        held = heavy.sum(1) - (heavy[:, :SURE_MISSED] * free).sum(1)
+        least = np.where(masked <= SURE_MISSED, np.minimum(least, held), least)
+    return least
+
+
+def latent_matches(z: np.ndarray, scale: np.ndarray, look: np.ndarray, need: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """For passages of documents (their unit vectors in the latent directions, and their factors) and of items (the same,
+    and least product times factor): which pairs have that cosine, and which have it or could be of a case.
+
+    The product of two unit vectors is that of their latent parts and that of what the directions leave out of them, which
+    comes to the product of the lengths of these rests at most: no case lies below that.
+    """
+    dot = z @ look.T
+    of_z, of_look = np.linalg.norm(z, axis=1), np.linalg.norm(look, axis=1)
+    near = dot >= np.maximum(of_z, 1e-9)[:, None] * (cosine * np.maximum(of_look, 1e-9))
+    # a little is added for single precision
+    rest_z, rest_look = (np.sqrt(np.maximum(0, 1 - x * x) + 1e-5) for x in (of_z, of_look))
+    dot += rest_z[:, None] * rest_look
+    return near, near | (dot + 1e-4 >= scale[:, None] * need)
+
+
 def span_of(doc: np.ndarray, item: np.ndarray) -> int:
     """The most successive item words that the doc holds with one edit for every EDIT_SHARE of them at most
     (three edits in all, which any longer case has a part within); 0 if below LEAST_WORDS.
@@ -264,9 +303,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, tex
        partitions add up A'(AQ) in blocks of terms; the factorised matrices are terms x rank.
     3. Passages are projected, and each document is a candidate for every item to which one of its
        passages has at least that cosine. No cosine is low enough for every case (14 common words may share
-       their passage with rare ones), so there is an exact way for the rest: it also is one for every item of
-       which it holds a run of RUN words. As any case has such a run, documents and candidates without one are
-       passed over.
+       their passage with rare ones), so it also is one where the projections can't rule a case out
+       (latent_matches): only candidates are compared, and no case is lost, whatever the directions. As any
+       case has a run of RUN words, documents and candidates without one in common are passed over.
     4. A candidate is kept if a common subsequence has LEAST_WORDS successive item words with one
        edit in EDIT_SHARE (span_of). Wording shared by several items matches nothing. For what is kept the
        closing words are looked for as well (holds_answer): a leak with its answer is the graver one.
@@ -348,12 +387,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, tex
     _values, turn = np.linalg.eigh((small + small.T) / 2)
     basis = (q @ turn[:, ::-1][:, :k]).astype(np.float32)
     look = weigher.times(ev.grid, basis)
-    look /= np.maximum(np.linalg.norm(look, axis=1, keepdims=True), 1e-9)
-    tools = spark.sparkContext.broadcast((basis, look, weigher))
+    need = (least_products(ev.grid, weigher.idf[:-1]) * weigher.factors(ev.grid)).astype(np.float32)
+    tools = spark.sparkContext.broadcast((basis, look, need, weigher))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = shared.value
-        basis, look, weigher = tools.value
+        basis, look, need, weigher = tools.value
         starts = np.flatnonzero(np.r_[True, e.owner[1:] != e.owner[:-1]])
         for b in batches:
             rows: list[tuple] = []
@@ -362,20 +401,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, tex
             runs = e.sharing_a_run(np.concatenate([np.zeros(0, np.int32), *docs]), np.array([len(x) for x in docs], np.int64))
             open_ = np.isin(owner, np.array(list(runs), np.int64))
             grid, owner = grid[open_], owner[open_]
-            near: dict[int, np.ndarray] = {}
-            for x in range(0, len(grid), 1024):
-                z = weigher.times(grid[x : x + 1024], basis)
-                z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-                hit = np.maximum.reduceat(z @ look.T, starts, axis=1) >= cosine
-                first = np.flatnonzero(np.r_[True, np.diff(owner[x : x + 1024]) > 0])
+            # of each document the items that are near, and those that are candidates
+            found: dict[int, np.ndarray] = {}
+            step = min(1024, max(1, PRODUCTS // len(look)))
+            for x in range(0, len(grid), step):
+                g = grid[x : x + step]
+                hit = np.stack([np.logical_or.reduceat(m, starts, axis=1) for m in latent_matches(weigher.times(g, basis), weigher.factors(g), look, need, cosine)], axis=1)
+                first = np.flatnonzero(np.r_[True, np.diff(owner[x : x + step]) > 0])
                 for d, h in zip(owner[x + first].tolist(), np.logical_or.reduceat(hit, first, axis=0)):
-                    near[d] = near[d] | h if d in near else h
+                    found[d] = found[d] | h if d in found else h
             at = {j: k for k, j in enumerate(e.owner[starts].tolist())}
-            for d, items in runs.items():
-                for j in sorted(items):
+            for d, (near, candidate) in found.items():
+                for j in sorted(runs[d]):
                     i = e.order[j]
-                    if n := span_of(docs[d], e.items[i]):
-                        rows.append((b.column("doc_id")[d].as_py(), i, n, holds_answer(docs[d], e.items[i]), bool(d in near and near[d][at[j]])))
+                    if candidate[at[j]] and (n := span_of(docs[d], e.items[i])):
+                        rows.append((b.column("doc_id")[d].as_py(), i, n, holds_answer(docs[d], e.items[i]), bool(near[at[j]])))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_()))], names=["doc_id", "item_id", "span", "answer", "near"])
 
     return final(kept.mapInArrow(search, out))

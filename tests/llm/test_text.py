@@ -233,6 +233,59 @@ def test_leaks_of_common_words_among_rare_ones(spark):
     assert {(x["doc_id"], x["item_id"]) for x in found.collect()} == want
 
 
+def test_only_what_the_latent_search_finds_is_compared(spark, monkeypatch):
+    """With directions that match nothing there are no rows; with any other ones, however few, every case is among them."""
+    r = random.Random(5)
+    docs = []
+    for n in range(160):
+        w = ITEMS[n % len(ITEMS)][1].split(" ")
+        a = r.randrange(len(w) - 26)
+        part = w[a : a + r.choice([6, 14, 16, 24])]
+        for k in range(n % 4):
+            part[(2 * k + 3) * len(part) // 9] = "other"
+        docs.append((n, " ".join(r.choices(NAMES, k=n % 15) + part + r.choices(NAMES, k=15))))
+    ev = leaks.Evaluation(ITEMS)
+    coded = {d: np.array([ev.terms.get(w, -1) for w in leaks.words(t)], np.int32) for d, t in docs}
+    want = {(d, i) for d, x in coded.items() for i, y in ev.items.items() if leaks.span_of(x, y)}
+    df, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    rows = lambda **k: {(x["doc_id"], x["item_id"]) for x in leaks.find_leaks(df, items, "doc_id", "item_id", **k).collect()}
+    assert len(want) > 40 and rows(rank=2, cosine=2.0) == want == rows(cosine=2.0)
+    monkeypatch.setattr(np.linalg, "eigh", lambda m: (np.zeros(len(m)), np.full(m.shape, np.nan)))
+    assert rows() == set()
+
+
+def test_latent_bound_rules_out_no_case():
+    """Cases of all kinds of edits keep above the bound for any directions; pairs that only share a run of five don't all."""
+    r = np.random.default_rng(6)
+    n = 300
+    weigher = leaks.Weigher(r.uniform(0.1, 6, n).astype(np.float32))
+    basis = np.linalg.qr(r.standard_normal((n, n)))[0].astype(np.float32)
+    cases, runs, runs_kept = 0, 0, {0: 0, 20: 0, n: 0}
+    for case in range(400):
+        item = r.permutation(n)[: r.integers(30, 70)].astype(np.int32)
+        item[r.random(len(item)) < 0.02] = -2
+        a = r.integers(0, len(item) - 26)
+        words = r.choice([5, 14, 16, 24, 26])
+        part = item[a : a + words].tolist()
+        for _ in range(r.integers(0, 4) if words > 5 else 0):
+            k = r.integers(1, len(part) - 1)
+            part[k : k + r.integers(0, 2)] = [-1] * r.integers(0, 2)
+        doc = np.concatenate([r.integers(-1, n, r.integers(0, 40)), part, r.integers(-1, n, r.integers(0, 40))]).astype(np.int32)
+        _, start, end = leaks.windows_of(np.array([len(item)]))
+        look = leaks.term_grid(item, start, end, n)
+        _, start, end = leaks.windows_of(np.array([len(doc)]))
+        good = leaks.could_hold(doc, start, end)
+        grid = leaks.term_grid(doc, start[good], end[good], n)
+        need = leaks.least_products(look, weigher.idf[:-1]) * weigher.factors(look)
+        true = leaks.span_of(doc, item) > 0
+        cases, runs = cases + true, runs + (words == 5 and not true)
+        for k in runs_kept:
+            _, could = leaks.latent_matches(weigher.times(grid, basis[:, :k]), weigher.factors(grid), weigher.times(look, basis[:, :k]), need, 2.0)
+            assert could.any() or not true
+            runs_kept[k] += words == 5 and not true and could.any()
+    assert cases > 200 and runs > 50 and runs_kept[n] < 0.75 * runs, (cases, runs, runs_kept)
+
+
 def test_passes_over_the_documents(spark, monkeypatch):
     """Passes go on until the topics hardly change; each is one sum over all documents, besides those of the labels."""
     calls = []
