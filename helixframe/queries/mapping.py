@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from helixframe.functions import alphabet as S
 from helixframe.functions.probability import LETTER
-from helixframe.operators import anchors as A, kernels as K, seeds as X, select as C
+from helixframe.operators import anchors as A, blocks as B, kernels as K, seeds as X, select as C
 from helixframe.plans import mapping as M
 from helixframe.queries.views import CONTIGS, READS, contigs, reads
 from helixframe.session import cut, table
@@ -33,8 +33,7 @@ def index_list_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def heavy_key_cutoff(spark: SparkSession, d: str) -> DataFrame:
-    light = X.without_heavy(_index(spark, d), CUTOFF)
-    return light.groupBy("cn", "sn").agg(F.count(F.lit(1)).alias("postings"), F.sum("pos").alias("pos_sum"))
+    return B.light_postings(contigs(spark, d), SEEDS, CUTOFF)
 
 
 def contig_offsets(spark: SparkSession, d: str) -> DataFrame:
