@@ -83,8 +83,13 @@ def diagonal_islands(anchors: DataFrame, read_len: str, span: int) -> DataFrame:
     fresh = ~((F.lag("cn").over(w) == F.col("cn")) & (F.lag("diag").over(w) == F.col("diag")))
     d = d.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("island", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
     g = d.groupBy("read_id", "st", "slot", "island").agg(F.first("cn").alias("cn"), F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") + span - F.min("x")).cast("int").alias("length"), F.count(F.lit(1)).cast("int").alias("weight"))
+    return with_big_gap(g.drop("slot", "island"))
+
+
+def with_big_gap(islands: DataFrame) -> DataFrame:
+    """Adds big_gap: whether the next island of the read on its contig lies far off."""
     nxt = F.lead("x").over(W.partitionBy("read_id", "st", "cn").orderBy("x", "y"))
-    return g.withColumn("big_gap", F.coalesce(nxt - F.col("x") >= BIG_GAP, F.lit(False))).drop("slot", "island")
+    return islands.withColumn("big_gap", F.coalesce(nxt - F.col("x") >= BIG_GAP, F.lit(False)))
 
 
 def candidate_windows(islands: DataFrame, read_len: str, contig_len: str, match: int, gap_open: int, gap_ext: int, window_pct: int = 140, threshold_pct: int = 55) -> DataFrame:
@@ -115,7 +120,7 @@ def candidate_windows(islands: DataFrame, read_len: str, contig_len: str, match:
     return r.where(F.col("score") >= need).select("read_id", "st", "cn", "x", "y", "length", "weight", "matches", "score", w_len.alias("w_len"), g_off.cast("bigint").alias("g_off"))
 
 
-def window_text(windows: DataFrame, contigs: DataFrame, most: int = 1536, tile: int = 1024) -> DataFrame:
+def window_text(windows: DataFrame, contigs: DataFrame, most: int = 1536, tile: int = 4096) -> DataFrame:
     """Adds `text`: the contig's bases of a window of at most `most`, from tiles of the contigs by an equi-join.
     A longer window is an error, never cut short."""
     t = tiles(contigs, ["cn"], "seq", most, tile).select("cn", "tile", "start", F.col("text").alias("__t"))

@@ -28,7 +28,7 @@ DENSE = 12
 REGION = 1 << REGION_BITS
 STRETCH, BLOB = 1 << 18, 1 << 23
 #: a block of contigs and of stranded reads; positions looked up and anchors held at a time
-BASES, READ_BASES, CHUNK, MOST = 1 << 25, 1 << 23, 1 << 21, 1 << 22
+BASES, READ_BASES, CHUNK, MOST = 1 << 25, 1 << 23, 1 << 20, 1 << 20
 SLICE = 1 << 18
 
 
@@ -112,14 +112,18 @@ def pack_reads(stranded: DataFrame) -> DataFrame:
 def _keys(raw: np.ndarray, lens: np.ndarray, seeds: Sequence[Seed]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per seed the places in `raw` where its windows of only A, C, G and T begin, within one text, and their keys."""
     code = BASE[raw]
-    odd = np.concatenate([[0], np.cumsum(code > 3, dtype=np.int32)])
-    left = np.repeat(np.cumsum(lens), lens) - np.arange(len(raw))
+    odd = np.zeros(len(raw) + 1, np.int32)
+    np.cumsum(code > 3, out=odd[1:])
+    ends = np.cumsum(lens)[:-1, None]
     for s in seeds:
         m = len(raw) - s.span + 1
         if m < 1:
             yield np.zeros(0, np.int64), np.zeros(0, np.int32)
             continue
-        good = np.flatnonzero((left[:m] >= s.span) & (odd[s.span :] == odd[:m]))
+        fits = odd[s.span :] == odd[:m]
+        over = (ends - np.arange(1, s.span)).ravel()  # windows that would run into the next text
+        fits[over[(over >= 0) & (over < m)]] = False
+        good = np.flatnonzero(fits)
         key = np.zeros(m, np.int32)
         for k, c in enumerate(s.pattern):
             if c == "1":
@@ -137,14 +141,16 @@ class _Stretches:
         room = (self.n + REGION - 1) // REGION + 1
         self.at = (np.cumsum(room) - room + 1) * REGION
         self.room = np.concatenate([[0], np.repeat(np.arange(len(room)), room)])
-        self.size, self.split = size, self.len > size
+        self.size, self.split, self.owner = size, self.len > size, None
 
     def pick(self, a: int, b: int) -> _Stretches:
         cols = {c: pa.array(getattr(self, c)[a:b]) for c in ("cn", "own", "start", "len", "n")}
         return _Stretches(pa.table(cols), self.size)
 
     def of(self, p: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.first, p, "right") - 1
+        if self.owner is None:
+            self.owner = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
+        return self.owner[p]
 
     def holding(self, place: np.ndarray) -> np.ndarray:
         return self.room[place >> REGION_BITS]
@@ -254,12 +260,12 @@ class _Reads:
 
     def __init__(self, blobs: Iterator[tuple[pa.Table, np.ndarray]], seeds: Sequence[Seed], heavy: list[np.ndarray], longest: int) -> None:
         metas, raws = zip(*blobs)
-        self.meta, raw, self.count = pa.concat_tables(metas).combine_chunks(), np.concatenate(raws), len(seeds)
+        self.meta, raw = pa.concat_tables(metas).combine_chunks(), np.concatenate(raws)
         self.len = self.meta.column("n").to_numpy().astype(np.int64)
         if self.len.max(initial=0) > longest:
             raise ValueError(f"a read has more than {longest} bases")
         self.first = np.cumsum(self.len) - self.len
-        self.row = np.repeat(np.arange(len(self.len), dtype=np.int32), self.len)
+        row = np.repeat(np.arange(len(self.len), dtype=np.int32), self.len)
         self.y_bits, self.sn_bits = longest.bit_length(), len(seeds).bit_length()
         self.given = seeds
         self.seeds = []
@@ -267,10 +273,36 @@ class _Reads:
             light = ~_is_heavy(bits, key)
             p, key = p[light], key[light]
             begin = np.zeros(4**s.weight + 1, np.int32)
-            np.cumsum(np.bincount(key, minlength=4**s.weight), out=begin[1:])
-            both = (key.astype(np.int64) << 32) | p
+            np.add.at(begin[1:], key, np.int32(1))
+            np.cumsum(begin, out=begin)
+            both = key.astype(np.int64) << 32
+            both |= p
             both.sort()
-            self.seeds.append((begin, (both & 0xFFFFFFFF).astype(np.int32)))
+            both &= 0xFFFFFFFF
+            r = row[both]
+            self.seeds.append((begin, r, (both - self.first[r]).astype(np.int32)))
+            del both, p, key
+
+    def met(self, st: _Stretches, raw: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per seed the first entry and the number of entries that windows of some stretches meet, stretch and window."""
+        met = []
+        for (begin, _, _), (p, key) in zip(self.seeds, _keys(raw, st.n, self.given)):
+            lo = begin[key]
+            n = begin[key + 1] - lo
+            some = np.flatnonzero(n)
+            p = p[some]
+            met.append((lo[some], n[some], st.of(p), p))
+        return met
+
+    def pairs(self, sn: int, lo: np.ndarray, n: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """About MOST anchors at a time: which windows they are of, their numbers, and their entries."""
+        ends, a = np.cumsum(n, dtype=np.int64), 0
+        while a < len(n):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + MOST)))
+            m = n[a:b]
+            skip = ends[a:b] - m - (ends[a - 1] if a else 0)
+            yield slice(a, b), m, np.repeat(lo[a:b] - skip, m) + np.arange(int(m.sum(dtype=np.int64)))
+            a = b
 
     def anchors(self, st: _Stretches, raw: np.ndarray) -> Iterator[_Anchors]:
         """The anchors on some stretches, all of a read together, about MOST at a time."""
@@ -278,33 +310,28 @@ class _Reads:
         shift = self.y_bits + self.sn_bits
         if len(self.len).bit_length() + place_bits + shift > 63:
             raise ValueError("a block of reads or contigs is too large")
-        met = []
-        for (begin, _), (p, key) in zip(self.seeds, _keys(raw, st.n, self.given)):
-            lo = begin[key]
-            n = begin[key + 1] - lo
-            some = np.flatnonzero(n)
-            s = st.of(p[some])
-            met.append((lo[some], n[some], p[some] - st.first[s] + st.at[s]))
-        passes = 1 + sum(int(n.sum(dtype=np.int64)) for _, n, _ in met) // MOST
+        met = self.met(st, raw)
+        passes = 1 + sum(int(n.sum(dtype=np.int64)) for _, n, _, _ in met) // MOST
         for j in range(passes):
             got = []
-            for sn, ((lo, n, place), (_, entries)) in enumerate(zip(met, self.seeds)):
-                ends = np.cumsum(n, dtype=np.int64)
-                a = 0
-                while a < len(n):
-                    b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + MOST)))
-                    m = n[a:b]
-                    e = entries[np.repeat(lo[a:b] - (np.cumsum(m, dtype=np.int64) - m), m) + np.arange(int(m.sum(dtype=np.int64)))]
-                    r = self.row[e].astype(np.int64)
-                    at = np.repeat(place[a:b], m)
+            for sn, ((lo, n, s, p), (_, rows, ys)) in enumerate(zip(met, self.seeds)):
+                place = (p - st.first[s] + st.at[s]) << shift | sn
+                for k, m, e in self.pairs(sn, lo, n):
+                    r, y, at = rows[e], ys[e], np.repeat(place[k], m)
                     if passes > 1:
                         keep = r % passes == j
-                        e, r, at = e[keep], r[keep], at[keep]
-                    got.append((r << (place_bits + shift)) | (at << shift) | ((e - self.first[r]) << self.sn_bits) | sn)
-                    a = b
+                        r, y, at = r[keep], y[keep], at[keep]
+                    at |= r.astype(np.int64) << (place_bits + shift)
+                    at |= y.astype(np.int64) << self.sn_bits
+                    got.append(at)
             if got:
                 yield _Anchors(np.concatenate(got), self, st, place_bits)
 
+    def rows(self, r: np.ndarray, rest: dict, out: pa.Schema) -> pa.Table:
+        at = pa.array(r)
+        cols = {c: self.meta.column(c).take(at) for c in ("read_id", "st")} | {k: pa.array(v) for k, v in rest.items()}
+        return pa.Table.from_arrays([cols[f.name] if f.name == "read_id" else cols[f.name].cast(f.type) for f in out], names=out.names)
+
 
 class _Anchors:
     """Anchors as numbers of read, place, y and seed."""
@@ -319,19 +346,20 @@ class _Anchors:
         y = (self.code >> self.reads.sn_bits) & ((1 << self.reads.y_bits) - 1)
         return self.code >> (self.place_bits + self.shift), s, place - self.st.at[s] + self.st.start[s], y, self.code & ((1 << self.reads.sn_bits) - 1)
 
-    def keep(self, support: bool, reach: int | None) -> None:
-        """Those supported by their region; those with another one of their read and contig within `reach`."""
+    def keep(self, support: bool, window_pct: int | None) -> None:
+        """Those supported by their region; those with another one of their read and contig within a window of the read."""
         self.code.sort()
         if support and len(self.code):
             self.code = self.code[_supported(self.code, self.shift)]
-        if reach is not None and len(self.code):
-            close = np.diff(self.code >> self.shift) <= reach
+        if window_pct is not None and len(self.code):
+            reach = self.reads.len * window_pct // 100 + 1
+            close = np.diff(self.code >> self.shift) <= reach[self.code[1:] >> (self.place_bits + self.shift)]
             self.code = self.code[np.append(False, close) | np.append(close, False)]
 
-    def rows(self, r: np.ndarray, s: np.ndarray, rest: dict[str, np.ndarray], out: pa.Schema) -> pa.Table:
-        at = pa.array(r)
-        cols = {"read_id": self.reads.meta.column("read_id").take(at), "st": self.reads.meta.column("st").take(at), "cn": pa.array(self.st.cn[s])} | {k: pa.array(v) for k, v in rest.items()}
-        return pa.Table.from_arrays([cols[f.name] if f.name == "read_id" else cols[f.name].cast(f.type) for f in out], names=out.names)
+
+def _distinct(a: np.ndarray) -> np.ndarray:
+    a = np.sort(a)
+    return a[np.append(True, a[1:] != a[:-1])] if len(a) else a
 
 
 Work = Callable[["_Reads", Iterator[tuple[_Stretches, np.ndarray]], pa.Schema], Iterator[pa.Table]]
@@ -378,31 +406,32 @@ def anchor_sums(stranded: DataFrame, contigs: DataFrame, seeds: Sequence[Seed],
     """read_id, st, anchors, contigs, x_sum, y_sum: the anchors of a stranded read, summed up where they are found."""
 
     def work(reads: _Reads, chunks: Iterator[tuple[_Stretches, np.ndarray]], out: pa.Schema) -> Iterator[pa.Table]:
-        m, a = len(reads.len), None
-        n, contigs_, x_sum, y_sum = (np.zeros(m, np.int64) for _ in range(4))
+        size, st = len(reads.len), None
+        n, contigs_, x_sum, y_sum = (np.zeros(size, np.int64) for _ in range(4))
         for st, raw in chunks:
-            for a in reads.anchors(st, raw):
-                r, s, x, y, _ = a.fields()
+            count, seen = len(st.n), []
+            for sn, (lo, m, s, p) in enumerate(reads.met(st, raw)):
+                x = p - st.first[s] + st.start[s]
                 if st.split.any():
                     own = st.is_own(s, x)
-                    r, s, x, y = r[own], s[own], x[own], y[own]
-                n += np.bincount(r, minlength=m)
-                # the sums of a chunk stay far below 2^53
-                x_sum += np.bincount(r, x, m).astype(np.int64)
-                y_sum += np.bincount(r, y, m).astype(np.int64)
-                met = r * len(st.n) + s
-                met.sort()
-                met = met[np.append(True, met[1:] != met[:-1])] if len(met) else met
-                r, s = met // len(st.n), met % len(st.n)
-                whole = ~st.split[s]
-                contigs_ += np.bincount(r[whole], minlength=m)
-                r, s = r[~whole], s[~whole]
-                if len(r):  # a contig in several stretches counts once, in the end
-                    zero = np.zeros(len(r), np.int64)
-                    yield a.rows(r, s, {"n": zero, "contigs": zero, "x_sum": zero, "y_sum": zero}, out)
-        if a is not None and len(k := np.flatnonzero(n)):
-            t = a.rows(k, np.zeros(len(k), np.int64), {"n": n[k], "contigs": contigs_[k], "x_sum": x_sum[k], "y_sum": y_sum[k]}, out)
-            yield t.set_column(2, "cn", pa.nulls(len(k), pa.int64()))
+                    lo, m, s, x = lo[own], m[own], s[own], x[own]
+                for k, each, e in reads.pairs(sn, lo, m):
+                    r = reads.seeds[sn][1][e]
+                    n += np.bincount(r, minlength=size)
+                    # the sums of MOST anchors stay far below 2^53
+                    x_sum += np.bincount(r, np.repeat(x[k].astype(np.float64), each), size).astype(np.int64)
+                    y_sum += np.bincount(r, reads.seeds[sn][2][e], size).astype(np.int64)
+                    seen.append(_distinct(r.astype(np.int64) * count + np.repeat(s[k], each)))
+            met = _distinct(np.concatenate(seen))
+            r, s = met // count, met % count
+            whole = ~st.split[s]
+            contigs_ += np.bincount(r[whole], minlength=size)
+            r, s = r[~whole], s[~whole]
+            if len(r):  # a contig in several stretches counts once, in the end
+                zero = np.zeros(len(r), np.int64)
+                yield reads.rows(r, {"cn": st.cn[s], "n": zero, "contigs": zero, "x_sum": zero, "y_sum": zero}, out)
+        k = np.flatnonzero(n)
+        yield reads.rows(k, {"cn": pa.nulls(len(k), pa.int64()), "n": n[k], "contigs": contigs_[k], "x_sum": x_sum[k], "y_sum": y_sum[k]}, out)
 
     sums = _cells(stranded, contigs, seeds, cutoff, longest, 0, work, "cn bigint, n bigint, contigs bigint, x_sum bigint, y_sum bigint", stretch)
     sums = sums.groupBy("read_id", "st", "cn").agg(*(F.sum(c).alias(c) for c in ("n", "contigs", "x_sum", "y_sum")))
@@ -418,23 +447,24 @@ def supported_anchors(stranded: DataFrame, contigs: DataFrame, seeds: Sequence[S
                 a.keep(True, None)
                 r, s, x, y, sn = a.fields()
                 own = st.is_own(s, x)
-                yield a.rows(r[own], s[own], {"x": x[own], "y": y[own], "sn": sn[own]}, out)
+                yield reads.rows(r[own], {"cn": st.cn[s[own]], "x": x[own], "y": y[own], "sn": sn[own]}, out)
 
     return _cells(stranded, contigs, seeds, cutoff, longest, 0, work, "cn bigint, x bigint, y int, sn int", stretch)
 
 
-def islands(stranded: DataFrame, contigs: DataFrame, seeds: Sequence[Seed], cutoff: int, longest: int, window_pct: int, support: bool, alone: bool = False, stretch: int | None = None) -> DataFrame:
+def islands(stranded: DataFrame, contigs: DataFrame, seeds: Sequence[Seed], cutoff: int, longest: int, window_pct: int, support: bool, least: tuple[int, int] | None, stretch: int | None = None) -> DataFrame:
     """Diagonal islands (anchors.diagonal_islands) with read_len and contig_len, of the supported anchors or of all.
 
-    Unless `alone`, without those that have no other anchor within a window: such a one has no partner and, as a
-    single seed, no score, so it makes no candidate window and ends no other island."""
+    With `least`, the threshold of windows in per cent and the score of a match, only those that can make a candidate
+    window: long enough by themselves, or with another island of the read within a window. An anchor without another
+    one within a window is no island of these, and ends none."""
     reach = longest * window_pct // 100
     span = max(s.span for s in seeds)
 
     def work(reads: _Reads, chunks: Iterator[tuple[_Stretches, np.ndarray]], out: pa.Schema) -> Iterator[pa.Table]:
         for st, raw in chunks:
             for a in reads.anchors(st, raw):
-                a.keep(support, None if alone else reach)
+                a.keep(support, window_pct if least else None)
                 if not len(a.code):
                     continue
                 r, s, x, y, _ = a.fields()
@@ -446,7 +476,20 @@ def islands(stranded: DataFrame, contigs: DataFrame, seeds: Sequence[Seed], cuto
                 weight = np.diff(np.append(head, len(x)))
                 first, last, low = np.minimum.reduceat(x, head), np.maximum.reduceat(x, head), np.minimum.reduceat(y, head)
                 r, s = r[head], s[head]
-                k = np.flatnonzero(st.is_own(s, first))
-                yield a.rows(r[k], s[k], {"x": first[k], "y": low[k], "length": (last + span - first)[k], "weight": weight[k], "read_len": reads.len[r[k]], "contig_len": st.len[s[k]]}, out)
-
-    return _cells(stranded, contigs, seeds, cutoff, longest, reach, work, "cn bigint, x bigint, y int, length int, weight int, read_len int, contig_len int", stretch)
+                n, total = reads.len[r], st.len[s]
+                keep = st.is_own(s, first)
+                if least:
+                    pct, match = least
+                    w = n * window_pct // 100
+                    place = (r << a.place_bits) + first - st.start[s] + st.at[s]
+                    at = np.argsort(place)
+                    close = np.diff(place[at]) <= w[at[1:]] + 1
+                    near = np.zeros(len(at), bool)
+                    near[at] = np.append(False, close) | np.append(close, False)
+                    need = pct * np.minimum(n, np.minimum(w, total)) * match // 100
+                    keep &= near | ((weight > 1) & ((last + span - first) * match >= need))
+                k = np.flatnonzero(keep)
+                yield reads.rows(r[k], {"cn": st.cn[s[k]], "x": first[k], "y": low[k], "length": (last + span - first)[k], "weight": weight[k], "read_len": n[k], "contig_len": total[k]}, out)
+
+    # windows read the islands several times: the blocks meet once
+    return cut(_cells(stranded, contigs, seeds, cutoff, longest, reach, work, "cn bigint, x bigint, y int, length int, weight int, read_len int, contig_len int", stretch))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from helixframe.functions import probability as P
-from helixframe.operators import anchors as A, kernels as K, seeds as X, select as C
+from helixframe.operators import anchors as A, blocks as B, kernels as K, seeds as X, select as C
 from helixframe.operators.ranking import last_known
 from helixframe.session import cut
 
@@ -58,19 +58,10 @@ def contig_at(points: DataFrame, point_id: str, at: str, contigs: DataFrame, off
     return got.select(F.col("__id").alias(point_id), F.col("__at").alias(at), "__got.*")
 
 
-def map_reads(reads: DataFrame, contigs: DataFrame, o: Options = Options(), index: DataFrame | None = None, scores: dict = P.LETTER) -> DataFrame:
-    """Alignments of reads (read_id, seq) on contigs (cn, seq, len): read_id, st, cn, genome_start and genome_end
-    (1-based), ops, edit, cigar, score, pct, rank.
-
-    Seeds of both strands meet the index in an equi-join after heavy keys are cut; supported anchors become
-    islands and windows; windows are scored in Arrow batches, thinned by overlap and cut to the best per
-    read before the full alignment. A prepared index (X.kmers, written by sn and key) saves building it.
-    """
-    # longer reads are left out, as the option says; nothing later cuts a read or its window short
-    reads = reads.where(F.length("seq") <= o.longest_read)
+def joined_islands(reads: DataFrame, stranded: DataFrame, contigs: DataFrame, o: Options, index: DataFrame | None) -> DataFrame:
+    """Islands by way of an index in rows: a prepared one, or one of seeds too heavy for tables over their keys."""
     # counting its keys and joining them both read the index: it is written once
     idx = X.without_heavy(index if index is not None else cut(X.kmers(contigs, ["cn"], "seq", o.seeds, spread=True)), o.cutoff)
-    stranded = A.both_strands(reads, strands=o.strands)
     anchors = A.seed_anchors(stranded, idx, o.seeds)
     if o.regions:
         # support reads the anchors twice: written once, the index and the join aren't worked out again
@@ -79,11 +70,29 @@ def map_reads(reads: DataFrame, contigs: DataFrame, o: Options = Options(), inde
     spans = F.element_at(F.array(*(F.lit(s.span) for s in o.seeds)), F.col("sn") + 1)
     anchors = anchors.join(lens, "read_id").withColumn("__span", spans)
     islands = A.diagonal_islands(anchors, "read_len", max(s.span for s in o.seeds))
-    islands = islands.join(lens, "read_id").join(contigs.select("cn", F.col("len").alias("contig_len")), "cn")
+    return islands.join(lens, "read_id").join(contigs.select("cn", F.col("len").alias("contig_len")), "cn")
+
+
+def map_reads(reads: DataFrame, contigs: DataFrame, o: Options = Options(), index: DataFrame | None = None, scores: dict = P.LETTER) -> DataFrame:
+    """Alignments of reads (read_id, seq) on contigs (cn, seq, len): read_id, st, cn, genome_start and genome_end
+    (1-based), ops, edit, cigar, score, pct, rank.
+
+    Seeds of both strands meet those of the contigs block by block after heavy keys are cut; supported anchors become
+    islands and windows; windows are scored in Arrow batches, thinned by overlap and cut to the best per
+    read before the full alignment. A prepared index (X.kmers, written by sn and key) saves building it.
+    """
+    # longer reads are left out, as the option says; nothing later cuts a read or its window short
+    reads = reads.where(F.length("seq") <= o.longest_read)
+    # seeds and windows both need the reads, and scores are joined to the windows they are of: each is written once
+    stranded = cut(A.both_strands(reads, strands=o.strands))
+    if index is None and B.dense(o.seeds):
+        islands = B.islands(stranded, contigs, o.seeds, o.cutoff, o.longest_read, o.window_pct, o.regions, (o.window_threshold_pct, scores["match"]) if o.window_threshold_pct >= 0 else None)
+    else:
+        islands = joined_islands(reads, stranded, contigs, o, index)
     win = A.candidate_windows(islands, "read_len", "contig_len", scores["match"], scores["open"], scores["ext_ins"], o.window_pct, o.window_threshold_pct)
     if o.min_matches:
         win = win.where(F.col("matches") >= o.min_matches)
-    win = A.window_text(win, contigs.select("cn", "seq"), max(1536, o.longest_read * o.window_pct // 100)).join(stranded, ["read_id", "st"])
+    win = cut(A.window_text(win, contigs.select("cn", "seq"), max(1536, o.longest_read * o.window_pct // 100)).join(stranded, ["read_id", "st"]))
     full = F.length("seq") * scores["match"]
     win = K.score_windows(win).withColumn("passes", F.col("score_vec") * 100 >= full * (o.full_threshold_pct if o.vector_threshold_pct is None else o.vector_threshold_pct))
     kept = C.suppress_overlaps(win.drop("length", "weight", "matches", "score"), o.overlap_pct)

@@ -10,6 +10,7 @@ from helixframe.functions.alignments import insert_size
 from helixframe.functions.alphabet import reverse_complement
 from helixframe.operators import pairs as R, reads as D
 from helixframe.plans.mapping import Options, map_reads
+from helixframe.session import cut
 
 #: the mates that are turned round so that a pair of the mode points inward
 TURNED = {"opp-in": (), "opp-out": (0, 1), "col-fw": (1,), "col-bw": (0,)}
@@ -46,13 +47,13 @@ def map_pairs(pairs: DataFrame, contigs: DataFrame, o: PairOptions = PairOptions
     mates = pairs.select("pair_id", F.inline(F.array(*sides)))
     mates = D.usable(mates, F.length("seq"), F.col("quality"), o.longest_read, o.least_quality, "pair_id").select(F.struct("pair_id", "nip").alias("read_id"), "seq")
     single = {f.name: getattr(o, f.name) for f in fields(Options)} | {"full_threshold_pct": o.full_threshold_pct // 2}
-    hits = map_reads(mates, contigs, Options(**single), index)
+    # both sides of a pair read the hits: they are written once
+    hits = cut(map_reads(mates, contigs, Options(**single), index))
     h = hits.select("read_id.pair_id", "read_id.nip", "cn", "st", "genome_start", "genome_end", "cigar", "score", "read_len")
-    h = h.select("*", F.struct("st", "genome_start", "genome_end", "cigar", "score").alias("hit"), (F.col("genome_start") - 1).alias("g_off"), (F.col("genome_end") - F.col("genome_start") + 1).cast("int").alias("w_len"))
-    best = F.lit(o.pair_pct) * 10 * (F.col("len0") + F.col("len1"))
+    h = h.select("*", F.struct("st", "genome_start", "genome_end", "cigar", "score", "read_len").alias("hit"), (F.col("genome_start") - 1).alias("g_off"), (F.col("genome_end") - F.col("genome_start") + 1).cast("int").alias("w_len"))
+    best = F.lit(o.pair_pct) * 10 * (F.col("hit0.read_len") + F.col("hit1.read_len"))
     found = R.pair_hits(h.where("nip = 0"), h.where("nip = 1"), o.mode, o.least_size, o.most_size)
-    lens = mates.groupBy("read_id.pair_id").agg(F.max(F.when(F.col("read_id.nip") == 0, F.length("seq"))).alias("len0"), F.max(F.when(F.col("read_id.nip") == 1, F.length("seq"))).alias("len1"))
-    kept = found.join(lens, "pair_id").where((F.col("score") * 100 >= best) & (F.col("hit0.score") > 0) & (F.col("hit1.score") > 0))
+    kept = found.where((F.col("score") * 100 >= best) & (F.col("hit0.score") > 0) & (F.col("hit1.score") > 0))
     top = R.top_pairs(kept, o.pair_report)
     back = [(F.col(f"hit{n}.st") == 1) != F.lit(n in turned) for n in (0, 1)]
     size = insert_size(*(x for n in (0, 1) for x in (F.col(f"hit{n}.genome_start"), F.col(f"hit{n}.genome_end"), back[n])))
