@@ -8,7 +8,7 @@ from helixframe.functions import alphabet as S
 from helixframe.functions.probability import LETTER
 from helixframe.operators import anchors as A, blocks as B, kernels as K, seeds as X, select as C
 from helixframe.plans import mapping as M
-from helixframe.queries.views import CONTIGS, READS, contigs, reads
+from helixframe.queries.views import CONTIGS, READ_LEN, READS, contigs, reads
 from helixframe.session import cut, table
 
 SEEDS = (X.CONTIGUOUS, X.SPACED)
@@ -48,38 +48,31 @@ def contig_lookup(spark: SparkSession, d: str) -> DataFrame:
     return M.contig_at(at, "hit_id", "at", g.select("cn", F.col("name"), F.col("g_offset")))
 
 
-def _light_index(spark: SparkSession, d: str, seeds: tuple[X.Seed, ...] = SEEDS) -> DataFrame:
-    """The index without heavy keys, cut as in production. Its keys are counted and joined: it is written once."""
-    return X.without_heavy(cut(X.kmers(contigs(spark, d), ["cn"], "seq", seeds, spread=True)), M.Options.cutoff)
-
-
-def _anchors(spark: SparkSession, d: str) -> DataFrame:
-    return A.seed_anchors(A.both_strands(reads(spark, d)), _light_index(spark, d), SEEDS)
+def _stranded(spark: SparkSession, d: str) -> DataFrame:
+    return A.both_strands(reads(spark, d))
 
 
 def seed_join_anchors(spark: SparkSession, d: str) -> DataFrame:
-    return _anchors(spark, d).groupBy("read_id", "st").agg(F.count(F.lit(1)).alias("anchors"), F.countDistinct("cn").alias("contigs"), F.sum("x").alias("x_sum"), F.sum("y").alias("y_sum"))
+    """Anchors of every stranded read, with the index cut as in production."""
+    return B.anchor_sums(_stranded(spark, d), contigs(spark, d), SEEDS, M.Options.cutoff, READ_LEN)
 
 
 def region_support(spark: SparkSession, d: str) -> DataFrame:
-    return A.supported(_anchors(spark, d)).groupBy("read_id", "st").agg(F.count(F.lit(1)).alias("anchors"), F.sum("x").alias("x_sum"))
+    a = B.supported_anchors(_stranded(spark, d), contigs(spark, d), SEEDS, M.Options.cutoff, READ_LEN)
+    return a.groupBy("read_id", "st").agg(F.count(F.lit(1)).alias("anchors"), F.sum("x").alias("x_sum"))
 
 
-def _first_seed_islands(spark: SparkSession, d: str) -> DataFrame:
-    seed = (X.CONTIGUOUS,)
-    r = reads(spark, d).withColumn("read_len", F.length("seq"))
-    a = A.seed_anchors(A.both_strands(r), _light_index(spark, d, seed), seed)
-    return A.diagonal_islands(a.join(r.select("read_id", "read_len"), "read_id"), "read_len", X.CONTIGUOUS.span)
+def _first_seed_islands(spark: SparkSession, d: str, least: tuple[int, int] | None) -> DataFrame:
+    return B.islands(_stranded(spark, d), contigs(spark, d), (X.CONTIGUOUS,), M.Options.cutoff, READ_LEN, M.Options.window_pct, support=False, least=least)
 
 
 def diagonal_islands(spark: SparkSession, d: str) -> DataFrame:
-    return _first_seed_islands(spark, d)
+    return A.with_big_gap(_first_seed_islands(spark, d, None).drop("read_len", "contig_len"))
 
 
 def _windows(spark: SparkSession, d: str) -> DataFrame:
-    r = reads(spark, d).select("read_id", F.length("seq").alias("read_len"))
-    i = _first_seed_islands(spark, d).join(r, "read_id").join(contigs(spark, d).select("cn", F.col("len").alias("contig_len")), "cn")
-    return A.candidate_windows(i, "read_len", "contig_len", LETTER["match"], LETTER["open"], LETTER["ext_ins"])
+    """Candidate windows; islands that can't make one are left out as they are found."""
+    return A.candidate_windows(_first_seed_islands(spark, d, (M.Options.window_threshold_pct, LETTER["match"])), "read_len", "contig_len", LETTER["match"], LETTER["open"], LETTER["ext_ins"])
 
 
 def two_anchor_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -88,8 +81,8 @@ def two_anchor_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     w = A.window_text(_windows(spark, d), contigs(spark, d).select("cn", "seq"))
-    s = A.both_strands(reads(spark, d))
-    return w.join(s, ["read_id", "st"])
+    s = _stranded(spark, d)
+    return cut(w.join(s, ["read_id", "st"]))
 
 
 def gapless_score(spark: SparkSession, d: str) -> DataFrame:
